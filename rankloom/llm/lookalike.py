@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textform import multi_map, single_map
+from ..session import cut
+from .textform import multi_map, single_map, skeleton_map
+
+LAST_LATIN_LIGATURE = "\ufb06"
 
 
 def mapped(text: Column) -> Column:
@@ -23,24 +26,43 @@ def mapped(text: Column) -> Column:
     order = [a for a, b in single.items() if b] + [a for a, b in single.items() if not b]
     out = F.translate(text, "".join(order), "".join(single[a] for a in order))
     for a, b in multi_map().items():
-        if a <= "ﬆ":
+        if a <= LAST_LATIN_LIGATURE:
             out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+def block(text: Column) -> Column:
+    """A hash that is equal for all members of a class: of the mapped text without accents.
+
+    It keeps rows apart that cannot look the same, so that only the few others are collated.
+    """
+    table = skeleton_map()
+    order = [a for a, b in table.items() if b] + [a for a, b in table.items() if not b]
+    out = F.translate(text, "".join(order), "".join(table[a] for a in order))
+    for a, b in multi_map().items():
+        if a <= LAST_LATIN_LIGATURE:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return F.xxhash64(out)
+
+
 def keyed(df: DataFrame, tab: str, key: str, text: str) -> DataFrame:
-    """(tab, k, look, h) per distinct row: h tells texts that differ in their characters apart."""
+    """(tab, k, h, block, raw) per row: h tells texts that differ in their characters apart."""
     return df.select(
         F.lit(tab).alias("tab"),
         F.col(key).cast("bigint").alias("k"),
-        F.collate(mapped(F.col(text)), "UNICODE").alias("look"),
         F.xxhash64(text).alias("h"),
-    ).where(F.col("look").isNotNull() & F.col("k").isNotNull())
+        block(F.col(text)).alias("block"),
+        F.col(text).alias("raw"),
+    ).where(F.col("raw").isNotNull() & F.col("k").isNotNull())
 
 
+BLOCKS_SQL = """
+SELECT tab, block FROM {values} GROUP BY tab, block HAVING min(h) <> max(h)
+"""
+
 CLASSES_SQL = """
-SELECT tab, look, min(struct(length(look) AS n, k)).k AS canonical_key, min(h) <> max(h) AS differs
-FROM {values} GROUP BY tab, look
+SELECT tab, look, min(struct(length(look) AS n, k)).k AS canonical_key
+FROM {values} GROUP BY tab, look HAVING min(h) <> max(h)
 """
 
 MEMBERS_SQL = """
@@ -55,15 +77,6 @@ FROM {members} a JOIN {members} b
 """
 
 
-def classes(values: DataFrame) -> DataFrame:
-    return values.sparkSession.sql(CLASSES_SQL, values=values)
-
-
-def canonical_members(values: DataFrame) -> DataFrame:
-    """(tab, k, h, canonical_key) for every row of keyed()."""
-    return values.sparkSession.sql(MEMBERS_SQL, values=values, classes=classes(values))
-
-
 def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, canonical_key, form): the canonical member of each row's class and its mapped value."""
     values = df.select(
@@ -80,9 +93,13 @@ def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
 def looking_alike(values: DataFrame) -> DataFrame:
     """(tab, key_a, key_b): rows of one table that look the same but differ in their characters.
 
-    Only classes that hold differing members are joined back.
+    Blocks whose rows all hold one text are left out before any text is moved; the rest is grouped
+    under the Unicode collation, and classes that hold differing members are joined back.
     """
     spark = values.sparkSession
-    found = classes(values).where("differs").drop("differs")
-    members = spark.sql(MEMBERS_SQL, values=values, classes=found)
+    mixed = spark.sql(BLOCKS_SQL, values=values)
+    rest = cut(
+        values.join(mixed, ["tab", "block"], "left_semi").select("tab", "k", "h", F.collate(mapped(F.col("raw")), "UNICODE").alias("look")).distinct()
+    )
+    members = spark.sql(MEMBERS_SQL, values=rest, classes=spark.sql(CLASSES_SQL, values=rest))
     return spark.sql(PAIRS_SQL, members=members)

@@ -49,6 +49,24 @@ def multi_map() -> dict[str, str]:
     return {a: b for a, b in compatibility_pairs().items() if len(b) > 1}
 
 
+@functools.cache
+def skeleton_map() -> dict[str, str]:
+    """single_map() with accents dropped: by rule, a character with a canonical decomposition becomes its
+    base letter, combining marks and Hangul (whose syllables decompose into several letters) vanish."""
+    out = {}
+    for cp in [*range(0xA0, 0xD800), *range(0xF900, 0xFB00)]:
+        ch = chr(cp)
+        base = unicodedata.normalize("NFD", ch)
+        if unicodedata.combining(ch) or 0x1100 <= cp <= 0x11FF or 0xAC00 <= cp <= 0xD7A3:
+            out[ch] = ""
+        elif base[0] != ch:
+            out[ch] = base[0]
+    single = single_map()
+    for a, b in single.items():
+        out[a] = out.get(b, b) if b else ""
+    return {a: single.get(b, b) for a, b in out.items()}
+
+
 @functools.cache
 def _canonical_table() -> dict[int, str]:
     return {ord(a): b for a, b in (single_map() | multi_map()).items()}
