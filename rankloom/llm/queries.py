@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalike, ranking
+from . import lookalike, neardup, ranking
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,5 +26,13 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.global_ranking(table(spark, d, "pairwise_observations"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking)}
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped_pairs(neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups)}
 ORACLE: dict[str, str] = {}
