@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalike, neardup, ranking
+from . import leakage, lookalike, neardup, ranking
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,5 +34,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.grouped_pairs(neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups)}
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    got = leakage.leaked(table(spark, d, "documents"), table(spark, d, "held_out_items"), "doc_id", "text", "item_id", "text")
+    return got.withColumnRenamed("doc", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p8_found, p8_leaks)}
 ORACLE: dict[str, str] = {}
