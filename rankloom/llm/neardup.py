@@ -41,6 +41,11 @@ LEAST = 4
 #: Buckets up to this many members are compared pairwise; larger ones through a hub first.
 BUCKET = 64
 
+#: Bits of a sketch, and how far below the expected agreement (in standard deviations) a pair is left out unverified.
+SKETCH = 256
+SLACK = 4.5
+_EDGES = (np.arange(SKETCH, dtype=np.float64) * (2.0**64 / SKETCH)).astype(np.uint64)
+
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,7 +89,7 @@ def signatures(features: np.ndarray, threshold: float = THRESHOLD, parts: int =
         if middle < 4 * per_part:  # short texts: the whole domain is one partition, and near sets are met by deletion
             out.append(_short(features, b))
             continue
-        per, low = (per_part, least) if middle >= 100 else (3.0, 2)
+        per, low = (per_part, least) if middle >= 100 else (4.0, 3)
         keep = min(1.0, parts * per / middle)
         count = parts if keep < 1 else max(1, round(middle / per))
         edges = np.searchsorted(u, np.arange(count + 1) * (keep / count))
@@ -100,6 +105,18 @@ def _short(features: np.ndarray, band: int) -> np.ndarray:
     return mix(features + np.uint64(band * 1_000_003 + 17))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """SKETCH bits: of each of as many slices of the hash domain, one bit of its smallest feature.
+
+    Sets of similarity s agree in about (1 + s) / 2 of the bits.
+    """
+    edges = np.searchsorted(features, _EDGES)
+    first = features[np.minimum(edges, max(len(features) - 1, 0))] if len(features) else np.zeros(SKETCH, np.uint64)
+    empty = edges == np.r_[edges[1:], len(features)]
+    bits = ((mix(first ^ _K3) & np.uint64(1)) == 1) & ~empty
+    return np.packbits(bits).tobytes()
+
+
 def _texts(batch: pa.RecordBatch, i: int) -> list:
     return batch.column(i).to_pylist()
 
@@ -117,7 +134,8 @@ def _sign(threshold: float, parts: int, per_part: float, least: int):
                 codes = fold_codes(text)
                 if len(codes) and (h := content_key(text, codes)) not in seen:
                     seen.add(h)
-                    s = signatures(runs(codes), threshold, parts, per_part, least)
+                    features = runs(codes)
+                    s = signatures(features, threshold, parts, per_part, least)
                     sig.append(s)
                     rep.append(np.full(len(s), h, np.uint64))
             if sig:
@@ -126,18 +144,26 @@ def _sign(threshold: float, parts: int, per_part: float, least: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = np.array([content_key(t, fold_codes(t)) for t in _texts(batch, 1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64))], ["doc", "h"])
-
-
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch, 1)
         codes = [fold_codes(t) for t in texts]
         h = np.array([content_key(t, c) for t, c in zip(texts, codes)], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([c.tobytes().decode("utf-32-le") for c in codes])], ["h", "folded"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([c.tobytes().decode("utf-32-le") for c in codes], pa.string())], ["h", "folded"])
+
+
+def _promising(threshold: float):
+    least = SKETCH * (1 + threshold) / 2 - SLACK * np.sqrt(SKETCH * (1 - threshold**2) / 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(_texts(batch, i)), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                same = SKETCH - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = pa.array(same >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
 
 
 def _similar(threshold: float):
@@ -156,6 +182,14 @@ def _similar(threshold: float):
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = _texts(batch, 1)
+        codes = [fold_codes(t) for t in texts]
+        h = np.array([content_key(t, c) for t, c in zip(texts, codes)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pa.array([sketch(runs(c)) for c in codes], pa.binary())], ["doc", "h", "sketch"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of those pairs whose exact similarity reaches the threshold."""
     left = texts.select(F.col("h").alias("a"), F.col("folded").alias("s"))
@@ -169,36 +203,42 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, per
 
     docs: (doc, text) without null texts.
     """
-    members = cut(docs.mapInArrow(_keys, "doc long, h long"))
+    members = cut(docs.mapInArrow(_sketched, "doc long, h long, sketch binary"))
     sigs = docs.mapInArrow(_sign(threshold, parts, per_part, least), "sig long, h long")
-    sigs.createOrReplaceTempView("rankloom_sigs")
     shared = cut(
         docs.sparkSession.sql(
             "select sig, h, hub, n from (select sig, h, min(h) over w as hub, max(h) over w as top, count(*) over w as n "
-            "from rankloom_sigs window w as (partition by sig)) where hub <> top"
+            "from {sigs} window w as (partition by sig)) where hub <> top",
+            sigs=sigs,
         ).distinct()
     )
     small, large = shared.where(F.col("n") <= BUCKET), shared.where(F.col("n") > BUCKET)
     other = small.select("sig", F.col("h").alias("b"))
     pairs = small.select("sig", F.col("h").alias("a")).join(other, "sig").where("a < b").select("a", "b")
     hubs = large.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
-    pairs = cut(pairs.union(hubs).distinct())
-    reps = members.groupBy("h").agg(F.min("doc").alias("doc"))
+    pairs = pairs.union(hubs).distinct()
+    reps = members.groupBy("h").agg(F.min(F.struct("doc", "sketch")).alias("r")).select("h", "r.doc", "r.sketch")
     hot = bool(large.take(1))
 
     def texts_of(p: DataFrame) -> DataFrame:
         need = p.select(F.col("a").alias("h")).union(p.select("b")).distinct().join(reps, "h").select("doc")
         return cut(docs.join(need, "doc", "left_semi").mapInArrow(_folded, "h long, folded string").dropDuplicates(["h"]))
 
+    def promising(p: DataFrame) -> DataFrame:
+        x, y = (reps.select(F.col("h").alias(e), F.col("sketch").alias("s" + e)) for e in ("a", "b"))
+        rows = p.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
+        return cut(rows.mapInArrow(_promising(threshold), "a long, b long"))
+
+    pairs = promising(pairs)
     found = cut(_verified(pairs, texts_of(pairs), threshold))
     if hot:  # members of a large bucket that are not near its hub are compared with all its members
         near = found.select(F.col("a").alias("hub"), F.col("b").alias("h"))
         far = large.where("h <> hub").join(near, ["hub", "h"], "left_anti")
         rest = far.select("sig", F.col("h").alias("x")).join(large.select("sig", F.col("h").alias("y")), "sig").where("x <> y")
         rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
+        rest = promising(rest.join(pairs, ["a", "b"], "left_anti"))
         found = cut(found.union(_verified(rest, texts_of(rest), threshold)))
-    return members, found
+    return members.select("doc", "h"), found
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
