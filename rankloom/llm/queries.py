@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, lookalike, neardup, ranking
+from . import leakage, lookalike, neardup, packing, ranking, splitting
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,5 +43,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p8_found, p8_leaks)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    capacity, _ = splitting.limit_of(table(spark, d, "size_limits"), "container")
+    return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text", "source", capacity).withColumnRenamed("doc", "doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limit, overlap = splitting.limit_of(table(spark, d, "size_limits"), "piece")
+    return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", limit, overlap).withColumnRenamed("doc", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_pieces(spark, d).where("piece_no = 1").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
