@@ -8,7 +8,7 @@ their items. The search starts at the smallest residual that holds the item and
 until it finds a compatible bin, which is therefore the tightest; if there is none, a bin is opened.
 
 Two items of one duplicate cluster never share a bin. Two items of one source don't either, unless the
-source holds more of the shard than one item in every bin could take (a hot source), when keeping it
+source holds more of the shard than one item in every fourth bin (a hot source), when keeping it
 apart would waste space by force. Null texts and texts without tokens take no space and get no row.
 """
 
@@ -35,7 +35,7 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     n = len(sizes)
     per_bin = max(1.0, capacity * n / max(1, sum(sizes)))
     share = pd.Series(sources, dtype=object).value_counts()
-    hot = set(share[share > n / per_bin / 2].index)
+    hot = set(share[share > n / per_bin / 4].index)
     bit = {s: 1 << k for k, s in enumerate(x for x in share.index if x not in hot)}
     copies = pd.Series(clusters, dtype=object).value_counts()
     twin = {c: 1 << k for k, c in enumerate(copies[copies > 1].index)}
