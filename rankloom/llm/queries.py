@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, lookalike, neardup, packing, ranking, splitting
+from . import consensus, leakage, lookalike, neardup, packing, ranking, splitting
+
+
+def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "judge_rankings"))
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "judge_rankings"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reweighted(consensus.votes(table(spark, d, "judge_rankings")))[0].select("sample_id", "label")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,5 +69,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
