@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import consensus, leakage, lookalike, neardup, packing, ranking, splitting
+from . import consensus, leakage, lookalike, neardup, packing, ranking, sentences, splitting
 
 
 def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = sentences.parts(table(spark, d, "ec_400_with_candidates"))
+    return sentences.sentences(rows, ["sample_id", "generation_round", "text_part"], "text")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = splitting.limit_of(table(spark, d, "size_limits"), "container")
     return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text", "source", capacity).withColumnRenamed("doc", "doc_id")
@@ -69,5 +74,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
