@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import consensus, leakage, lookalike, neardup, packing, ranking, sentences, splitting
+from . import consensus, leakage, lookalike, neardup, packing, pairdefects, ranking, sentences, splitting
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairdefects.defects(table(spark, d, "ec_400_with_candidates"))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pairdefects.labelled(table(spark, d, "ec_400_with_candidates"))
 
 
 def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -74,5 +82,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
