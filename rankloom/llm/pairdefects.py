@@ -31,6 +31,8 @@ from .textform import canonical
 
 DEFECTS = ("empty", "refusal", "copied_source", "other_language", "truncated")
 MAX_ERROR = 0.02
+#: No cutoff lies below this posterior.
+FLOOR = 0.9
 ROUNDS = 200
 #: Starting values of the label model: sensitivity and false alarms of a function, share of defective rows.
 START = (0.7, 0.01, 0.02)
@@ -56,7 +58,7 @@ CANNOT = regex.compile(
 )
 POLICY = regex.compile(r"(?i)相关规定|内容限制|安全考虑|受限信息|政策|规定|合规|敏感|持证|违反|guideline|polic(?:y|ies)|violat|regulat|restricted|not permitted|licensed")
 OFFER = regex.compile(r"(?i)请先补充|信息不足|不足以|感谢理解|敬请谅解|请谅解|请见谅|如需帮助|请告诉我|您可以|您好|可以帮您|建议咨询|其他话题|请提供|please try|please provide|could you|can you (?:share|provide)|clarify|different passage|regrettably|unfortunately|sorry|apologi[sz]e|抱歉|对不起|不好意思|遗憾")
-META = regex.compile(r"(?i)翻译|译文|译者|版本|话题|原文|请求|作答|该段|此段|这段|这份材料|此类财经|translat|request|passage|\bversion\b|assist|source first|this (?:text|content)")
+META = regex.compile(r"(?i)翻译|译文|译者|版本|话题|原文|请求|作答|该段|此段|这段|该内容|材料|此类|处理|能力|translat|request|passage|\bversion\b|assist|source first|this (?:text|content)")
 _SCALE = {"million": 6, "billion": 9, "trillion": 12, "万": 4, "亿": 8}
 _NUMBER = regex.compile(r"(\d[\d,]*(?:\.\d+)?)\s*(million|billion|trillion|万|亿)?")
 _TIME = regex.compile(r"(?i)\b\d{1,2}(?:[.:]\d{2})?\s*[ap]\.m\.|\bsigned on \p{L}+\.? \d{1,2}")
@@ -135,32 +137,34 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
         if blank or f["e_word"]:
             out.append(f | {k: 0 for d in DEFECTS[1:] for k in FUNCTIONS[d]})
             continue
-        # refusal
-        plain = _unquoted(v.text)
-        f["r_self"], f["r_cannot"], f["r_policy"] = (int(bool(p.search(plain))) for p in (SELF, CANNOT, POLICY))
-        f["r_offer"], f["r_meta"] = (int(bool(p.search(plain))) for p in (OFFER, META))
+        # refusal: only sentences that neither the source nor the other variants account for can be one
         known = {g for p in peers for g in p.pairs}
-        alien = False
-        body = [v.text[a:b] for a, b in spans(v.text)]
-        for u in body:
-            w = letters(_unquoted(u))
-            if len(w) < 6 or any(c.isdigit() for c in w):
+        lead = _LEAD.match(v.text)
+        body = v.text[lead.end() :] if lead and letters(v.text[lead.end() :]) else v.text
+        strange, alien = [], False
+        for a, b in spans(body):
+            u = _unquoted(body[a:b])
+            w = letters(u)
+            own = grams(w, 2) if any(_HAN.match(c) for c in w) else grams(w, 5)
+            if not own or any(c.isdigit() for c in w):
+                continue
+            han = sum(bool(_HAN.match(c)) for c in w) > 0.5 * len(w)
+            share = sum(g in known for g in own) / len(own) if han else sum(g in src_grams for g in own) / len(own)
+            if han and known and share >= 0.6 or not han and src_grams and share >= 0.4:
                 continue
-            han = sum(bool(_HAN.match(c)) for c in w)
-            if han > 0.5 * len(w) and known:
-                own = [g for g in grams(w, 2) if _HAN.match(g)]
-                alien |= sum(g in known for g in own) < 0.3 * len(own)
-            elif han <= 0.5 * len(w) and src_grams and not _KANA.search(w):
-                own = grams(w, 5)
-                alien |= bool(own) and sum(g in src_grams for g in own) < 0.12 * len(own) and w.isascii()
+            strange.append(u)
+            alien |= len(w) >= 6 and (han and bool(known) and share < 0.3 or not han and bool(src_grams) and share < 0.12 and w.isascii())
+        plain = " ".join(strange)
+        f["r_self"], f["r_cannot"], f["r_policy"] = (int(bool(p.search(plain))) for p in (SELF, CANNOT, POLICY))
+        f["r_offer"], f["r_meta"] = (int(bool(p.search(plain))) for p in (OFFER, META))
         f["r_alien"] = int(alien) if known or src_grams else -1
         # copy and language
-        body_letters = letters(_LEAD.sub("", v.text, count=1)) or v.letters
+        body_letters = letters(body)
         own = [g for g in grams(body_letters, 5) if not _HAN.search(g)]
         share = sum(g in src_grams for g in own) / len(own) if own else 0.0
         foreign = v.n - v.han
         mostly_latin = v.latin > 0.5 * v.n
-        words = [w for w in regex.findall(r"\p{Latin}+", _LEAD.sub("", v.text, count=1).casefold())]
+        words = [w for w in regex.findall(r"\p{Latin}+", body.casefold())]
         same = sum(w in src_words for w in words) / len(words) if words else 0.0
         f["c_share"] = int(mostly_latin and share >= 0.85) if src_grams else -1
         f["c_latin"] = int(mostly_latin and share >= 0.8 and len(own) >= 5) if src_grams else -1
@@ -193,10 +197,10 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
         else:
             f["t_recall"] = f["t_tail"] = -1
             f["t_short"] = int(len(v.letters) < 0.2 * len(src_letters)) if src_letters else -1
-        end = core.rstrip("…⋯.")[-3:]
+        end = core.rstrip("…⋯.")[-4:]
         f["t_goes_on"] = -1
-        if len(end) == 3 and end[-1:].isalnum() and peers:
-            for size in (3, 2):
+        if len(end) == 4 and end[-1:].isalnum() and peers:
+            for size in (4, 3):
                 after = [p.text[m.end() : m.end() + 1] for p in peers for m in regex.finditer(regex.escape(end[-size:]), p.text)]
                 if after:
                     f["t_goes_on"] = int(all(a.isalnum() or a in "·%.％" for a in after if a) and all(after))
@@ -257,16 +261,16 @@ def fit(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
 
 
 def cutoff(patterns: dict[str, int], post: dict[str, float], max_error: float = MAX_ERROR) -> float:
-    """The lowest cutoff, 0.5 at least, above which the expected share of wrong flags is within max_error."""
+    """The lowest cutoff, FLOOR at least, above which the expected share of wrong flags is within max_error."""
     best, n, wrong = 1.0, 0, 0.0
     for p in sorted(patterns, key=lambda p: -post[p]):
-        if post[p] < 0.5:
+        if post[p] < FLOOR:
             break
         n += patterns[p]
         wrong += patterns[p] * (1 - post[p])
         if wrong <= max_error * n:
             best = post[p]
-    return max(0.5, best)
+    return max(FLOOR, best)
 
 
 def voted(df: DataFrame) -> DataFrame:
