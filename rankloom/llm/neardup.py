@@ -6,8 +6,8 @@ that are similar enough lie in one band or in neighbouring ones; each set is enu
 band and the next. Within a band the feature domain is cut by hash into partitions; a signature is
 (band, partition, exact content of the partition), and sets that agree in one partition share it. In
 bands of large sets the domain is first thinned by hash so that a set keeps about PARTS * PER_PART
-features. Of the partitions only those with at least LEAST features are enumerated, since smaller ones
-agree by chance.
+features; bands of small sets are cut in two independent ways. Of the partitions only those with at
+least LEAST features are enumerated, since smaller ones agree by chance.
 
 Sets of similarity s agree in a partition of m features with probability about s**m. With the default
 parameters a link of similarity 0.7 shares about nine signatures, so about one such link in ten
@@ -15,8 +15,9 @@ thousand has none; guaranteed cover (more first-level partitions than differing
 partitions of one or two features here, which all texts share. Candidates are verified exactly, and
 groups are the connected components of the verified links.
 
-Texts without letters or digits have no features: those of one consistent form are one group. Texts of fewer than five letters have one feature, the whole of it.
-Null texts belong to no group. Repeated rows count once.
+Texts without letters or digits have no features: those of one consistent form are one group. Texts
+of fewer than five letters have one feature, the whole of it. Null texts belong to no group.
+Repeated rows count once.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ THRESHOLD = 0.7
 PARTS = 48
 PER_PART = 5.0
 LEAST = 4
+#: Sets of bands below this size are cut in two independent ways.
+TWICE_BELOW = 160
 #: Buckets up to this many members are compared pairwise; larger ones through a hub first.
 BUCKET = 64
 
@@ -79,32 +82,27 @@ def signatures(features: np.ndarray, threshold: float = THRESHOLD, parts: int =
         return np.zeros(0, np.uint64)
     step = -np.log(threshold)
     band = int(np.log(n) / step + 1e-9)
-    # Partitions follow the hash order, so each is a slice of the sorted features.
-    u = features.astype(np.float64) / 2.0**64
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(features ^ _K1), out=total[1:])
     out = []
     for b in (band, band + 1):
         middle = np.exp(step * (b + 0.5))
-        if middle < 4 * per_part:  # short texts: the whole domain is one partition, and near sets are met by deletion
-            out.append(_short(features, b))
+        if middle < 4 * per_part:  # the domain is too small to cut: single features are the partitions
+            out.append(mix(features + np.uint64(b * 1_000_003 + 17)))
             continue
         per, low = (per_part, least) if middle >= 100 else (4.0, 3)
         keep = min(1.0, parts * per / middle)
         count = parts if keep < 1 else max(1, round(middle / per))
-        edges = np.searchsorted(u, np.arange(count + 1) * (keep / count))
-        size = np.diff(edges)
-        use = np.flatnonzero(size >= low)
-        content = total[edges[1:]] - total[edges[:-1]]
-        out.append(mix(content[use] + np.uint64(b * 1_000_003) + use.astype(np.uint64) * _K2))
+        for turn in range(2 if middle < TWICE_BELOW else 1):
+            # Partitions follow the order of a hash, so each is a slice of the sorted features.
+            f = features if turn == 0 else np.sort(mix(features + _K3))
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(f ^ _K1), out=total[1:])
+            edges = np.searchsorted(f.astype(np.float64) / 2.0**64, np.arange(count + 1) * (keep / count))
+            use = np.flatnonzero(np.diff(edges) >= low)
+            content = total[edges[use + 1]] - total[edges[use]]
+            out.append(mix(content + np.uint64(b * 1_000_003 + turn * 7919) + use.astype(np.uint64) * _K2))
     return np.concatenate(out)
 
 
-def _short(features: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of small sets: each single feature, so that any common one is met."""
-    return mix(features + np.uint64(band * 1_000_003 + 17))
-
-
 def sketch(features: np.ndarray) -> bytes:
     """SKETCH bits: of each of as many slices of the hash domain, one bit of its smallest feature.
 

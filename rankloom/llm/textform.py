@@ -84,14 +84,17 @@ def _fold_table() -> np.ndarray:
     """Code point -> folded letter or digit; 0 drops it; -1 needs the slow path (it maps to several)."""
     lut = np.zeros(sys.maxunicode + 1, np.int32)
     table = _canonical_table()
+    # what composes with a letter before it needs the slow path: vowel signs and jamo, besides combining marks
+    joins = {p[-1] for cp in range(sys.maxunicode + 1) if len(p := unicodedata.decomposition(chr(cp)).split()) == 2 and p[0][0] != "<"}
+    second = {int(x, 16) for x in joins} | set(range(0x1160, 0x1200))
     for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp <= 0xDFFF or 0xE000 <= cp <= 0xF8FF or cp >= 0xF0000:
             continue
         ch = chr(cp)
-        if unicodedata.combining(ch):
+        if cp in second or unicodedata.combining(ch):
             lut[cp] = -1
             continue
-        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0x20000 <= cp <= 0x3FFFF:
+        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp <= 0x3FFFF:
             lut[cp] = cp if ch.isalnum() else 0
             continue
         to = "".join(c for c in unicodedata.normalize("NFC", table.get(cp, ch)).casefold() if c.isalnum())
