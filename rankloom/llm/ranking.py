@@ -1,10 +1,14 @@
 """Global ranking from pairwise verdicts by offence-defence scaling.
 
 The smoothed win matrix A (A[i][j]: times i beat j) is balanced by alternating row and column
-scalings. Row i is divided by the item's offence, column j by the item's defence, both in a scale
-where offence / defence is the strength. If A[i][j] = s_i * q_ij with any symmetric q, as in the
-Bradley-Terry model with uneven numbers of comparisons, the scalings of the symmetric part cancel and
-offence / defence is s exactly, so log strengths are log-odds.
+scalings: row i is divided by the item's offence, column j by the item's defence, and offence over
+defence is the strength. If A[i][j] = s_i * q_ij with any symmetric q, as in the Bradley-Terry model with
+uneven numbers of comparisons, the scalings of the symmetric part cancel and offence / defence is s
+exactly, so log strengths are log-odds. Symmetric factors and the diagonal are therefore free: cells are
+weighted by sqrt(s_i s_j) / (s_i + s_j) of the current strengths, and a dominant constant diagonal is
+added, which makes the fixed point the most likely strengths of the counts and lets the scaling converge
+for every pattern of comparisons. Items that no chain of comparisons links can't be ranked against each
+other; their strengths are those within their own part.
 
 Only the (winner, loser) counts of systems are iterated on. They are collected when there are at most
 MAX_LOCAL_PAIRS of them (checked); beyond that the same iterations run as DataFrame aggregations.
@@ -16,11 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 MAX_LOCAL_PAIRS = 250_000
-#: Wins added in either direction to every pair that was compared at all, and of every item over a common anchor.
-SMOOTHING = 0.5
+#: Wins added in either direction to every pair that was compared at all.
+SMOOTHING = 0.1
 
 
 def _clean(c: str) -> Column:
@@ -54,47 +58,51 @@ def scale_local(counts: list[tuple[str, str, float]], smoothing: float = SMOOTHI
         return {}
     at = {x: i for i, x in enumerate(items)}
     n = len(items)
-    A = np.zeros((n + 1, n + 1))
+    A = np.zeros((n, n))
     for w, l, c in counts:
         A[at[w], at[l]] += c
     A += smoothing * ((A + A.T) > 0)
-    A[n, :n] = A[:n, n] = smoothing * 1e-3  # the anchor links items whose comparisons share no path
-    off = np.ones(n + 1)
-    dfn = np.ones(n + 1)
-    last = np.zeros(n + 1)
+    D = np.diag(np.full(n, (A + A.T).sum(1).max() / 2))
+    s, dfn = np.zeros(n), np.ones(n)
     for _ in range(rounds):
-        off = A @ (1 / dfn)
-        dfn = A.T @ (1 / off)
-        s = np.log(off / dfn)
+        half = (s[:, None] - s[None]) / 2
+        M = A / (np.exp(half) + np.exp(-half)) + D
+        off = M @ (1 / dfn)
+        dfn = M.T @ (1 / off)
+        last, s = s, np.log(off / dfn)
         if np.abs(s - last).max() < tol:
             break
-        last = s
-    s = np.log(off / dfn)[:n]
     return {x: float(v) for x, v in zip(items, s - s.mean())}
 
 
-def scale_distributed(counts: DataFrame, smoothing: float = SMOOTHING, rounds: int = 60, tol: float = 1e-6) -> DataFrame:
-    """(system, log_strength) by the same scaling, for more items than the driver should hold."""
-    both = counts.select(F.col("winner").alias("i"), F.col("loser").alias("j"), "n").union(
-        counts.select(F.col("loser"), F.col("winner"), F.lit(0).cast("bigint"))
-    )
-    A = both.groupBy("i", "j").agg((F.sum("n") + smoothing).alias("n"))
-    ends = A.select("i").distinct()
-    eps = smoothing * 1e-3
-    A = cut(A.union(ends.select("i", F.lit("\0"), F.lit(eps))).union(ends.select(F.lit("\0"), "i", F.lit(eps))))
-    state = cut(A.select(F.col("i").alias("x")).distinct().select("x", F.lit(1.0).alias("d"), F.lit(0.0).alias("s")))
-    for _ in range(rounds):
-        off = A.join(state, A.j == state.x).groupBy("i").agg(F.sum(F.col("n") / F.col("d")).alias("o"))
-        dfn = A.join(off.withColumnRenamed("i", "y"), F.col("i") == F.col("y")).groupBy("j").agg(F.sum(F.col("n") / F.col("o")).alias("d"))
-        nxt = off.join(dfn, off.i == dfn.j).select(F.col("i").alias("x"), "d", F.log(F.col("o") / F.col("d")).alias("s"))
-        nxt = cut(nxt.join(state.select("x", F.col("s").alias("before")), "x"))
-        gap = nxt.agg(F.max(F.abs(F.col("s") - F.col("before")))).first()[0]
-        state = nxt.drop("before")
-        if gap is None or gap < tol:
+def scale_distributed(counts: DataFrame, smoothing: float = SMOOTHING, rounds: int = 400, tol: float = 1e-6) -> DataFrame:
+    """(system, log_strength) by the same scaling, for more items than the driver should hold.
+
+    Each round is two sums over the pairs, joined with one row per item.
+    """
+    both = counts.select(F.col("winner").alias("i"), F.col("loser").alias("j"), "n").union(counts.select("loser", "winner", F.lit(0).cast("bigint")))
+    A = cut(both.groupBy("i", "j").agg((F.sum("n") + smoothing).alias("n")))
+    total = A.select("i", "n").union(A.select("j", "n")).groupBy("i").agg((F.sum("n") / 2).alias("t"))
+    diagonal = total.agg(F.max("t")).first()[0]
+    if diagonal is None:
+        return counts.sparkSession.createDataFrame([], "system string, log_strength double")
+    state = cut(total.select(F.col("i").alias("x"), F.lit(1.0).alias("d"), F.lit(0.0).alias("s")))
+    for k in range(rounds):
+        a = state.select(F.col("x").alias("i"), F.col("s").alias("si"))
+        b = state.select(F.col("x").alias("j"), F.col("s").alias("sj"), F.col("d").alias("dj"))
+        half = (F.col("si") - F.col("sj")) / 2
+        M = A.join(a, "i").join(b, "j").select("i", "j", "dj", (F.col("n") / (F.exp(half) + F.exp(-half))).alias("m"))
+        rows = M.groupBy(F.col("i").alias("x")).agg(F.sum(F.col("m") / F.col("dj")).alias("o"))
+        off = state.join(rows, "x", "left").select("x", "s", (F.coalesce("o", F.lit(0.0)) + diagonal / F.col("d")).alias("o"))
+        cols = M.join(off.select(F.col("x").alias("i"), "o"), "i").groupBy(F.col("j").alias("x")).agg(F.sum(F.col("m") / F.col("o")).alias("d"))
+        nxt = off.join(cols, "x", "left").withColumn("d", F.coalesce("d", F.lit(0.0)) + diagonal / F.col("o"))
+        nxt = stored(nxt.select("x", "d", F.log(F.col("o") / F.col("d")).alias("s"), F.abs(F.log(F.col("o") / F.col("d")) - F.col("s")).alias("gap")))
+        gap = nxt.agg(F.max("gap")).first()[0]
+        state = nxt.drop("gap")
+        if gap < tol:
             break
-    out = state.where(F.col("x") != "\0")
-    mean = out.agg(F.avg("s").alias("m"))
-    return out.join(F.broadcast(mean)).select(F.col("x").alias("system"), (F.col("s") - F.col("m")).alias("log_strength"))
+    mean = state.agg(F.avg("s").alias("m"))
+    return state.join(F.broadcast(mean)).select(F.col("x").alias("system"), (F.col("s") - F.col("m")).alias("log_strength"))
 
 
 def strengths(counts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 Learning counts, per language, each word with and without a final period, what follows the period
 (lower case, digit, a capitalised word that is also known in lower case, another capitalised word, the
 end of a line) and which word follows. From the counts come, by log-likelihood ratios:
+  * leads: words whose period is mostly followed by a number;
   * abbreviations: words bound to their period more than chance explains, weighed by shortness and by
     inner periods; an abbreviation whose next words are capitalised names only is a title;
   * collocations: a number or initial and the word after its period that belong together;
@@ -148,6 +149,7 @@ class Model:
 
     abbreviations: set = field(default_factory=set)
     titles: set = field(default_factory=set)
+    leads: set = field(default_factory=set)  # words whose period is mostly followed by a number
     collocations: set = field(default_factory=set)
     inner: set = field(default_factory=set)  # (abbreviation, lower-case word seen after it)
     starters: set = field(default_factory=set)
@@ -194,7 +196,7 @@ def _ends_here(text: str, m: Model, dot: int, begin: int, flat: bool) -> bool:
     if c.islower():
         return False
     if c.isdigit():
-        return not abbr
+        return not (abbr or word in m.leads)
     if text[k - 1] in "(（[" and abbr:
         return False
     if not abbr:
@@ -354,9 +356,10 @@ def learn(texts: DataFrame) -> dict[str, Model]:
     # a period that goes on in lower case, with a digit or a comma inside the sentence is further evidence
     open_ = F.col("lower") + F.col("digit") + F.col("in")
     score = score + F.when((open_ > 0) & (F.col("plain") <= open_) & (letters <= 5), F.lit(ABBREVIATION)).otherwise(0.0)
-    title = (F.col("upper") > 0) & (F.col("followers") >= 0.3 * F.col("upper")) & (F.col("common") <= 0.05 * F.col("upper")) & (F.col("end") + F.col("lower") + F.col("in") <= 0.02 * F.col("dotted"))
+    title = (F.col("upper") > 0) & (F.col("followers") >= F.least(0.3 * F.col("upper"), F.lit(3.0))) & (F.col("common") <= 0.05 * F.col("upper")) & (F.col("end") + F.col("lower") + F.col("in") <= 0.02 * F.col("dotted"))
     abbr = scored.where("a not in ('#', '##')").select("lang", "a", score.alias("score"), title.alias("title"), (F.col("plain") + F.col("dotted")).alias("n")).where(F.col("score") >= ABBREVIATION)
     abbr = abbr.orderBy(F.desc("score"), "lang", "a").limit(MODEL_ENTRIES)
+    leads = by_word.where("a not in ('#', '##') and digit >= 2 and digit >= 0.5 * dotted").orderBy(F.desc("digit"), "lang", "a").limit(MODEL_ENTRIES)
     # starters: after a sure boundary more often than elsewhere
     use = n.where("kind in ('l', 'u', 's')").groupBy("lang", "a").agg(
         F.sum(F.when(F.col("kind") != "s", F.col("n")).otherwise(0)).alias("x0"), F.sum(F.when(F.col("kind") == "s", F.col("n")).otherwise(0)).alias("k0")
@@ -376,6 +379,8 @@ def learn(texts: DataFrame) -> dict[str, Model]:
         m.abbreviations.add(r.a)
         if r.title:
             m.titles.add(r.a)
+    for r in leads.toLocalIterator():
+        out.setdefault(r.lang, Model()).leads.add(r.a)
     for r in starters.select("lang", "a").toLocalIterator():
         out.setdefault(r.lang, Model()).starters.add(r.a)
     for r in colloc.select("lang", "a", "b").toLocalIterator():
