@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import consensus, leakage, lookalike, neardup, packing, pairdefects, ranking, sentences, splitting
+from .textform import multi_map, single_map
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,4 +84,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
-ORACLE: dict[str, str] = {}
+
+
+def _form_sql(c: str) -> str:
+    """The consistent form in SQL: the maps of textform and the composed normal form."""
+    single = single_map()
+    order = [a for a, b in single.items() if b] + [a for a, b in single.items() if not b]
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate({c}, '{quoted(''.join(order))}', '{quoted(''.join(single[a] for a in order))}')"
+    for a, b in multi_map().items():
+        if a <= lookalike.LAST_LATIN_LIGATURE:
+            out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
+
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS raw, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT DISTINCT 'ec_400_with_candidates', sample_id, source_text, {_form_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
+      SELECT DISTINCT a.tab AS tab, a.k AS key_a, b.k AS key_b FROM v a JOIN v b ON a.tab = b.tab AND a.form = b.form AND a.k < b.k AND a.raw <> b.raw""",
+}
