@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session with the settings the operators expect (UTC, AQE, Arrow)."""
+    """A local session with the settings the operators expect (UTC, AQE, Arrow); its workers find this package."""
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(PACKAGE.parent), os.environ.get("PYTHONPATH")]))
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.session.timeZone", "UTC")
@@ -49,6 +55,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on every executor, once per application, through a zip in the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rankloom_shipped", False):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(PACKAGE.parent))
+    at = f"{shared_dir(spark)}/code-{uuid.uuid4().hex}/rankloom.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        stream.write(bytearray(buffer.getvalue()))
+    finally:
+        stream.close()
+    sc.addPyFile(at)
+    sc._rankloom_shipped = True
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, by a table written to the shared folder and read back.
 
