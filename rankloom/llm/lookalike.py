@@ -78,16 +78,19 @@ FROM {members} a JOIN {members} b
 
 
 def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, canonical_key, form): the canonical member of each row's class and its mapped value."""
-    values = df.select(
-        F.col(key).cast("bigint").alias("k"), F.collate(mapped(F.col(text)), "UNICODE").alias("look")
-    ).where("look is not null and k is not null")
-    got = values.groupBy("look").agg(
-        F.min_by(F.struct("k", F.collate("look", "UTF8_BINARY").alias("form")), F.struct(F.length("look"), "k")).alias("c")
-    )
-    return values.join(got, "look").select(
-        F.col("k").alias(key), F.col("c.k").alias("canonical_key"), F.col("c.form").alias("form")
-    ).distinct()
+    """(key, canonical_key, form): the canonical member of each row's class and its mapped value.
+
+    Blocks that hold one text only need no collation: their class is the block.
+    """
+    values = keyed(df, "", key, text).dropDuplicates(["k", "h"])
+    blocks = values.groupBy("block").agg(F.min("k").alias("first"), (F.min("h") != F.max("h")).alias("mixed"))
+    rows = values.join(blocks, "block")
+    plain = rows.where("not mixed").select("k", F.col("first").alias("canonical_key"), mapped(F.col("raw")).alias("form"))
+    rest = cut(rows.where("mixed").select("k", F.collate(mapped(F.col("raw")), "UNICODE").alias("look")))
+    member = F.struct("k", F.collate("look", "UTF8_BINARY").alias("form"))
+    found = rest.groupBy("look").agg(F.min_by(member, F.struct(F.length("look"), "k")).alias("c"))
+    collated = rest.join(found, "look").select("k", F.col("c.k").alias("canonical_key"), F.col("c.form").alias("form"))
+    return plain.union(collated).withColumnRenamed("k", key)
 
 
 def looking_alike(values: DataFrame) -> DataFrame:
