@@ -80,7 +80,7 @@ def readable(text: str) -> tuple[str, list[int] | None]:
 def language(text: str) -> str:
     """A language or script tag: enough to keep statistics of different languages apart."""
     seen: Counter = Counter()
-    for c in text[:4000:3]:
+    for c in text:
         if c.isalpha():
             seen["hani" if "一" <= c <= "鿿" else "kana" if "぀" <= c <= "ヿ" else "cyrl" if "Ѐ" <= c <= "ԯ" else "latn" if c < "ɐ" else "other"] += 1
     if not seen:
@@ -91,7 +91,7 @@ def language(text: str) -> str:
     if top != "latn":
         return top
     votes: Counter = Counter()
-    for w in text.lower().split()[:400]:
+    for w in text.lower().split():
         for k in _BY_WORD.get(w, ()):
             votes[k] += 1
     return votes.most_common(1)[0][0] if votes else "latn"
