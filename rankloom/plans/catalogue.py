@@ -377,7 +377,7 @@ def q_record_keys(spark, d):
 
 FEATURES = inference.FEATURES
 OBS = """clean AS (SELECT obs_id, lower(trim(model)) AS model, CAST(trim(sample_id) AS BIGINT) AS sample_id, lower(trim(candidate_a)) AS candidate_a, lower(trim(candidate_b)) AS candidate_b,
-  coalesce(CASE WHEN lower(trim(winner)) <> '' THEN lower(trim(winner)) END, lower(trim(ranking[1]))) AS w, """ + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES) + """ FROM pairwise_observations),
+  coalesce(CASE WHEN lower(trim(winner)) <> '' THEN lower(trim(winner)) END, lower(trim(ranking[1]))) AS w, """ + ", ".join(f"round({f}, 6) + 0.0::DOUBLE AS {f}" for f in FEATURES) + """ FROM pairwise_observations),
 obs AS (SELECT DISTINCT obs_id, model, sample_id, candidate_a, candidate_b, CASE WHEN w = candidate_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, """ + ", ".join(FEATURES) + """ FROM clean
   WHERE candidate_a <> candidate_b AND w IN (candidate_a, candidate_b) AND obs_id IS NOT NULL AND model IS NOT NULL AND sample_id IS NOT NULL AND """ + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES) + ")"
 
@@ -495,12 +495,12 @@ def q_feature_merge(spark, d):
 
 REL = ["root", "nsubj", "obj", "amod", "advmod", "conj", "cc", "acl:relcl", "nsubj:pass", "nmod", "case", "det"]
 TAG = ["NOUN", "VERB", "ADJ", "PUNCT", "PROPN", "PART", "ADV", "NUM", "PRON"]
-WORDS = f"words AS (SELECT doc_id, regexp_extract_all(text, '{WORD_RE}')[1:200] AS w FROM documents WHERE lower(lang) = 'en'), tok AS (SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) AS id FROM words), tree AS (SELECT doc_id, id, text, ((id * 7919) % 101 + doc_id) % id AS head, CASE ((id * 31 + doc_id) % {len(REL)}) " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REL)) + f" END AS deprel, CASE ((id * 17 + doc_id) % {len(TAG)}) " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(TAG)) + " END AS upos FROM tok)"
+WORDS = f"words AS (SELECT doc_id, regexp_extract_all(text, '{WORD_RE}') AS w FROM documents WHERE lower(lang) = 'en'), tok AS (SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) AS id FROM words), tree AS (SELECT doc_id, id, text, ((id * 7919) % 101 + doc_id) % id AS head, CASE ((id * 31 + doc_id) % {len(REL)}) " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REL)) + f" END AS deprel, CASE ((id * 17 + doc_id) % {len(TAG)}) " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(TAG)) + " END AS upos FROM tok)"
 
 
 def _tokens(spark, d):
-    """A made-up parse of each English text's first 200 words, by arithmetic: a parser is not part of this repository."""
-    docs = table(spark, d, "documents").where(F.lower("lang") == "en").select("doc_id", F.slice(T.en_word_list(F.col("text")), 1, 200).alias("w")).where(F.size("w") > 0)
+    """A made-up parse of each English text, by arithmetic: a parser is not part of this repository."""
+    docs = table(spark, d, "documents").where(F.lower("lang") == "en").select("doc_id", T.en_word_list(F.col("text")).alias("w")).where(F.size("w") > 0)
     doc = F.col("doc_id")
 
     def token(x, i):
@@ -518,7 +518,7 @@ def q_dependency_distance(spark, d):
 
 @query("WITH RECURSIVE " + WORDS + ", walk AS (SELECT doc_id, id, 0 AS depth FROM tree WHERE head = 0 UNION ALL SELECT t.doc_id, t.id, w.depth + 1 FROM walk w JOIN tree t ON t.doc_id = w.doc_id AND t.head = w.id) SELECT doc_id, max(depth) AS depth FROM walk GROUP BY doc_id")
 def q_tree_depth(spark, d):
-    return _tokens(spark, d).select("doc_id", syntax.tree_depth(F.transform("tokens", lambda t: t["head"]), 8).alias("depth"))
+    return _tokens(spark, d).select("doc_id", syntax.tree_depth(F.transform("tokens", lambda t: t["head"])).alias("depth"))
 
 
 @query("WITH " + WORDS + f""", f AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE deprel IN {_in(syntax.EN_CLAUSE)}) AS clauses, greatest(count(*) FILTER (WHERE upos IN {_in(syntax.CONTENT)}), 1) AS content,
