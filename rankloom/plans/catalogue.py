@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,22 @@ RULES = screening.Rules(min_chars=220, max_chars=650, min_cjk=0.0, max_digit=0.2
 EN_TERMS = ["percent", "per", "million", "on"]
 
 
+#: Queries whose counts SQL gives as 64-bit integers.
+WIDE = {"q_rankings_long", "q_judged_by_most", "q_normalize_html", "q_text_counts", "q_sentences", "q_feature_merge", "q_stratified_quota", "q_candidate_explode"}
+
+
+def _wide(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+    return run
+
+
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = _wide(f) if f.__name__ in WIDE else f
         if sql:
             ORACLE[f.__name__] = sql
         return f
