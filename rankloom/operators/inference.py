@@ -79,7 +79,8 @@ def fit_logistic(obs: DataFrame, features: list[str] = FEATURES, l2: float = L2)
     """(model, beta): minimises mean log-loss + l2/2 |w|^2 (intercept free) by Newton steps.
 
     The penalised loss is strictly convex, so this is the point that long gradient descent approaches.
-    Each step is one pass of partial sums over the rows, however a model's rows are spread.
+    Each step is one pass of partial sums over obs, however a model's rows are spread; cut() it first if
+    it is costly to compute.
     """
     k = len(features) + 1
     x = _design(obs, features)
@@ -160,7 +161,7 @@ def cluster_scores(rows: DataFrame, k: int) -> DataFrame:
 def univariate(obs: DataFrame, features: list[str] = FEATURES, l2: float = L2) -> DataFrame:
     """One model per (judge, feature): the feature alone with an intercept."""
     long = obs.unpivot(["model", "sample_id", "label"], features, "feature", "x")
-    keyed = long.withColumn("model", F.concat_ws("\t", "model", "feature")).select("model", "sample_id", "label", "x")
+    keyed = cut(long.withColumn("model", F.concat_ws("\t", "model", "feature")).select("model", "sample_id", "label", "x"))
     table = cluster_robust(keyed, fit_logistic(keyed, ["x"], l2), ["x"], l2).where("feature = 'x'")
     parts = F.split("model", "\t")
     return table.withColumn("feature", parts[1]).withColumn("model", parts[0])

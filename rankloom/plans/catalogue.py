@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import distribution, inference, judging, records, sampling, screening, syntax
-from ..session import shared_dir, table
+from ..session import cut, shared_dir, table
 from ..streaming import screen
 
 QUERIES: dict = {}
@@ -427,7 +427,7 @@ def q_cluster_scores(spark, d):
 
 
 def _fitted(spark, d):
-    obs = inference.standardised(_obs(spark, d))
+    obs = cut(inference.standardised(_obs(spark, d)))
     return inference.cluster_robust(obs, inference.fit_logistic(obs))
 
 
@@ -551,11 +551,11 @@ def _spans(spark, d):
     return table(spark, d, "base_samples").select("id", F.col("source_book").alias("book"), F.col("source_segment_start").alias("s"), F.col("source_segment_end").alias("e"), "difficulty", "domain_subtype")
 
 
-@query("WITH " + SPANS + " SELECT a.id AS left_id, b.id AS right_id FROM spans a JOIN spans b ON a.book = b.book AND a.s <= b.e AND b.s <= a.e WHERE a.s <= a.e AND b.s <= b.e AND a.difficulty = 'easy' AND b.difficulty = 'hard'")
+@query("WITH " + SPANS + " SELECT a.id AS left_id, b.id AS right_id FROM spans a JOIN spans b ON a.book = b.book AND a.s <= b.e AND b.s <= a.e WHERE a.s <= a.e AND b.s <= b.e AND a.id < b.id")
 def q_span_overlap(spark, d):
-    """Easy samples whose span meets that of a hard one of the same book."""
+    """Pairs of samples whose spans of one book meet."""
     s = _spans(spark, d)
-    return sampling.overlapping(s.where("difficulty = 'easy'"), s.where("difficulty = 'hard'"), "book", "s", "e")
+    return sampling.overlapping(s, s, "book", "s", "e").where("left_id < right_id")
 
 
 @query("WITH " + SPANS + " SELECT DISTINCT a.id AS id FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE a.book = b.book AND a.s = b.s AND a.e = b.e AND b.difficulty = 'hard')")
