@@ -188,7 +188,9 @@ def _ends_here(text: str, m: Model, dot: int, begin: int, flat: bool) -> bool:
     if word[-1:].isdigit():
         if text[begin:dot].strip().isdigit() and dot - begin <= 3:
             return False
-        return c.isupper() or c.isdigit() and blank or not c.isalnum() or ord(c) > 0x2E80 if len(word) > 2 or ("#", after) not in m.collocations else False
+        if len(word) <= 2 and ("#", after) in m.collocations:
+            return False
+        return c.isupper() or c.isdigit() and blank or not c.isalnum() or ord(c) > 0x2E80
     if not blank and len(word.rsplit(".", 1)[-1]) < 2 and not (abbr and "." in word):
         return False
     if len(word) == 1 and word.isalpha() and prev.isupper() and (word, after) in m.collocations:
@@ -203,9 +205,7 @@ def _ends_here(text: str, m: Model, dot: int, begin: int, flat: bool) -> bool:
         return True
     if word in m.titles:
         return False
-    if flat and ((word, after) in m.inner or after in m.starters and word in ("no", "art")):
-        return False
-    return True
+    return not (flat and (word, after) in m.inner)
 
 
 def spans(text: str | None, model: Model = EMPTY) -> list[tuple[int, int]]:
