@@ -98,8 +98,41 @@ def _form_sql(c: str) -> str:
     return f"nfc_normalize({out})"
 
 
+def _letters_sql(c: str) -> str:
+    return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
 ORACLE: dict[str, str] = {
     "p3_found": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS raw, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT DISTINCT 'ec_400_with_candidates', sample_id, source_text, {_form_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
       SELECT DISTINCT a.tab AS tab, a.k AS key_a, b.k AS key_b FROM v a JOIN v b ON a.tab = b.tab AND a.form = b.form AND a.k < b.k AND a.raw <> b.raw""",
+    # every pair of texts that share a run, so fit for small tables only
+    "p5_found": f"""WITH RECURSIVE f AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_transform(generate_series(1, length(t) - 4), lambda i: substr(t, i, 5)) END) AS x FROM f WHERE t <> ''),
+      n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+      both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+      link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)),
+      edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+      reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+      SELECT DISTINCT a AS doc_a, b AS doc_b FROM reach WHERE a < b""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
+      i AS (SELECT item_id, {_letters_sql('text')} AS t FROM held_out_items WHERE text IS NOT NULL),
+      h AS (SELECT item_id, t, (length(t) + 1) // 2 AS k FROM i WHERE t <> ''),
+      run AS (SELECT item_id, unnest(list_transform(generate_series(1, length(t) - k + 1), lambda p: substr(t, p, k))) AS x FROM h)
+      SELECT DISTINCT doc_id, item_id FROM d JOIN run ON contains(d.t, run.x)""",
+    # the most likely strengths of the same smoothed counts, by a minorising iteration instead of scaling
+    "p4_found": f"""WITH RECURSIVE c AS (SELECT obs_id, lower(trim(candidate_a)) AS a, lower(trim(candidate_b)) AS b,
+        coalesce(nullif(lower(trim(winner)), ''), lower(trim(ranking[1]))) AS w FROM pairwise_observations),
+      v AS (SELECT obs_id, min((a, b, w)) AS v FROM c WHERE obs_id IS NOT NULL AND a <> b AND a <> '' AND b <> '' AND w IN (a, b) GROUP BY obs_id),
+      won AS (SELECT v[3] AS i, CASE WHEN v[3] = v[1] THEN v[2] ELSE v[1] END AS j, count(*) AS n FROM v GROUP BY ALL),
+      sys AS (SELECT DISTINCT i AS x FROM won UNION SELECT DISTINCT j FROM won),
+      cell AS (SELECT p.x AS i, q.x AS j, coalesce(w.n, 0) AS n, coalesce(l.n, 0) AS m FROM sys p CROSS JOIN sys q
+        LEFT JOIN won w ON w.i = p.x AND w.j = q.x LEFT JOIN won l ON l.i = q.x AND l.j = p.x),
+      line AS (SELECT i, sum(CASE WHEN n + m > 0 THEN n + {ranking.SMOOTHING} ELSE 0 END)::DOUBLE AS wins,
+        list((CASE WHEN n + m > 0 THEN n + m + 2 * {ranking.SMOOTHING} ELSE 0 END)::DOUBLE ORDER BY j) AS met FROM cell GROUP BY i),
+      whole AS (SELECT list(i ORDER BY i) AS names, list(wins ORDER BY i) AS w, list(met ORDER BY i) AS met, count(*)::INT AS n FROM line),
+      it AS (SELECT 0 AS k, list_transform(w, lambda x: 1.0::DOUBLE) AS s FROM whole
+        UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda p: w[p] / list_sum(list_transform(range(1, n + 1), lambda q: met[p][q] / (s[p] + s[q])))) FROM it, whole WHERE k < 1500),
+      last AS (SELECT unnest(names) AS x, ln(unnest(s)) AS s FROM it, whole WHERE k = 1500)
+      SELECT a.x AS system_a, b.x AS system_b, CASE WHEN a.s > b.s THEN a.x ELSE b.x END AS stronger FROM last a JOIN last b ON a.x < b.x AND abs(a.s - b.s) > 0.75""",
 }

@@ -5,9 +5,9 @@ scalings: row i is divided by the item's offence, column j by the item's defence
 defence is the strength. If A[i][j] = s_i * q_ij with any symmetric q, as in the Bradley-Terry model with
 uneven numbers of comparisons, the scalings of the symmetric part cancel and offence / defence is s
 exactly, so log strengths are log-odds. Symmetric factors and the diagonal are therefore free: cells are
-weighted by sqrt(s_i s_j) / (s_i + s_j) of the current strengths, and a dominant constant diagonal is
-added, which makes the fixed point the most likely strengths of the counts and lets the scaling converge
-for every pattern of comparisons. Items that no chain of comparisons links can't be ranked against each
+weighted by sqrt(s_i s_j) / (s_i + s_j) of the current strengths and by the roots of both items' offence
+times defence, and a constant diagonal is added. With these the fixed point is the most likely strengths
+of the smoothed counts, and the scaling converges for every pattern of comparisons. Items that no chain of comparisons links can't be ranked against each
 other; their strengths are those within their own part.
 
 Only the (winner, loser) counts of systems are iterated on. They are collected when there are at most
@@ -62,11 +62,12 @@ def scale_local(counts: list[tuple[str, str, float]], smoothing: float = SMOOTHI
     for w, l, c in counts:
         A[at[w], at[l]] += c
     A += smoothing * ((A + A.T) > 0)
-    D = np.diag(np.full(n, (A + A.T).sum(1).max() / 2))
-    s, dfn = np.zeros(n), np.ones(n)
+    diagonal = (A + A.T).sum(1).max() / 2
+    s, dfn = np.zeros(n), np.full(n, np.sqrt(diagonal))
     for _ in range(rounds):
         half = (s[:, None] - s[None]) / 2
-        M = A / (np.exp(half) + np.exp(-half)) + D
+        size = dfn * np.exp(s / 2)  # root of offence times defence
+        M = A / (np.exp(half) + np.exp(-half)) * np.outer(size, size) / diagonal + np.diag(np.full(n, diagonal))
         off = M @ (1 / dfn)
         dfn = M.T @ (1 / off)
         last, s = s, np.log(off / dfn)
@@ -86,12 +87,13 @@ def scale_distributed(counts: DataFrame, smoothing: float = SMOOTHING, rounds: i
     diagonal = total.agg(F.max("t")).first()[0]
     if diagonal is None:
         return counts.sparkSession.createDataFrame([], "system string, log_strength double")
-    state = cut(total.select(F.col("i").alias("x"), F.lit(1.0).alias("d"), F.lit(0.0).alias("s")))
-    for k in range(rounds):
-        a = state.select(F.col("x").alias("i"), F.col("s").alias("si"))
+    state = cut(total.select(F.col("i").alias("x"), F.lit(float(diagonal) ** 0.5).alias("d"), F.lit(0.0).alias("s")))
+    size = lambda d, s: F.col(d) * F.exp(F.col(s) / 2)
+    for _ in range(rounds):
+        a = state.select(F.col("x").alias("i"), F.col("s").alias("si"), F.col("d").alias("di"))
         b = state.select(F.col("x").alias("j"), F.col("s").alias("sj"), F.col("d").alias("dj"))
         half = (F.col("si") - F.col("sj")) / 2
-        M = A.join(a, "i").join(b, "j").select("i", "j", "dj", (F.col("n") / (F.exp(half) + F.exp(-half))).alias("m"))
+        M = A.join(a, "i").join(b, "j").select("i", "j", "dj", (F.col("n") / (F.exp(half) + F.exp(-half)) * size("di", "si") * size("dj", "sj") / diagonal).alias("m"))
         rows = M.groupBy(F.col("i").alias("x")).agg(F.sum(F.col("m") / F.col("dj")).alias("o"))
         off = state.join(rows, "x", "left").select("x", "s", (F.coalesce("o", F.lit(0.0)) + diagonal / F.col("d")).alias("o"))
         cols = M.join(off.select(F.col("x").alias("i"), "o"), "i").groupBy(F.col("j").alias("x")).agg(F.sum(F.col("m") / F.col("o")).alias("d"))

@@ -98,7 +98,7 @@ def test_scaling_is_the_most_likely_fit_of_noisy_counts():
     counts = [(x, y, rng.randrange(1, 60)) for x in "abcdef" for y in "abcdef" if x != y and (x, y) not in (("a", "f"), ("f", "a"))]
     smooth = [(x, y, n + ranking.SMOOTHING) for x, y, n in counts]
     want, got = likely(smooth), ranking.scale_local(counts)
-    assert all(abs(want[x] - got[x]) < 0.03 for x in want)
+    assert all(abs(want[x] - got[x]) < 1e-4 for x in want)
 
 
 def test_star_of_comparisons():
