@@ -383,7 +383,7 @@ def q_range_slice(spark, d):
 @query("SELECT source || '|' || printf('%04d', doc_id) AS k, printf('%04d', doc_id) || '|' || source || '|' || sha256(text) AS record_key FROM documents WHERE doc_id < 10000 UNION ALL SELECT source || '|' || left(doc_id::VARCHAR, 4) AS k, left(doc_id::VARCHAR, 4) || '|' || source || '|' || sha256(text) FROM documents WHERE doc_id >= 10000")
 def q_record_keys(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select(F.concat_ws("|", "source", F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("k"), T.record_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("record_key"))
+    return docs.select(F.concat_ws("|", "source", T.padded(F.col("doc_id"), 4)).alias("k"), T.record_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("record_key"))
 
 
 # ------------------------------------------------------------------ features and inference

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import collapse
+from ..functions.text import collapse, padded
 from ..operators.screening import numbered
 
 BOM = "\ufeff"
@@ -54,7 +54,7 @@ def read_lines_raw(spark: SparkSession, path: str) -> DataFrame:
 def read_text_lines(spark: SparkSession, path: str, language: str) -> DataFrame:
     """(id, text): trimmed non-blank lines with ids <language>_native_<n>."""
     lines = read_lines_raw(spark, path)
-    return lines.select(F.concat(F.lit(f"{language}_native_"), F.lpad("line_no", 5, "0")).alias("id"), collapse(F.col("line")).alias("text"))
+    return lines.select(F.concat(F.lit(f"{language}_native_"), padded(F.col("line_no"), 5)).alias("id"), collapse(F.col("line")).alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

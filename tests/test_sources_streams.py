@@ -82,3 +82,9 @@ def test_registered_queries(spark, small):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert isinstance(entry.entry(spark).toPandas(), pd.DataFrame)
+
+
+def test_line_numbers_of_text_lines_are_never_cut(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("x\n" * 100_001)
+    ids = {r.id for r in readers.read_text_lines(spark, f"{tmp_path}/l.txt", "en").collect()}
+    assert len(ids) == 100_001 and {"en_native_00001", "en_native_100001"} <= ids

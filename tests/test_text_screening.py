@@ -102,3 +102,16 @@ def test_tree_depth(spark):
     cases = [([0], 0), ([0, 1, 1, 2], 2), ([2, 1], 0), (chain, 299), ([], 0), ([0, 3, 2], 0)]
     df = spark.createDataFrame([(h, d) for h, d in cases], "h array<int>, d int")
     assert all(r.x == r.d for r in df.select("d", syntax.tree_depth(F.col("h")).alias("x")).collect())
+
+
+def test_index_of_a_record_key_is_never_cut(spark):
+    df = spark.createDataFrame([(7, "s", "a"), (9999, "s", "a"), (10000, "s", "a"), (10009, "s", "a"), (1234567, "s", "a")], "i bigint, k string, t string")
+    got = [r.x for r in df.orderBy("i").select(T.record_key(F.col("i"), F.col("k"), F.col("t")).alias("x")).collect()]
+    assert [x.split("|")[0] for x in got] == ["0007", "9999", "10000", "10009", "1234567"]
+
+
+def test_record_keys_query_keeps_large_ids(spark, tmp_path):
+    from rankloom.plans.catalogue import q_record_keys
+
+    spark.createDataFrame([(5, "s", "a"), (10000, "s", "a"), (10001, "s", "a")], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.k for r in q_record_keys(spark, str(tmp_path)).collect()} == {"s|0005", "s|10000", "s|10001"}
