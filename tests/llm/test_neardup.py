@@ -88,6 +88,17 @@ def test_similar_sets_share_a_signature():
     assert missed <= 4
 
 
+@pytest.mark.parametrize(("small", "large"), [(14, 20), (35, 50), (140, 200), (1000, 1428)])
+def test_sets_of_neighbouring_bands_share_a_signature(small, large):
+    rng = np.random.default_rng(small)
+    missed = 0
+    for _ in range(500):
+        b = np.unique(rng.integers(0, 2**64, large, dtype=np.uint64))
+        a = np.sort(rng.choice(b, small, replace=False))  # contained, so similarity is the ratio of sizes
+        missed += not set(neardup.signatures(a).tolist()) & set(neardup.signatures(b).tolist())
+    assert missed <= 1
+
+
 def test_sketch_agreement():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
