@@ -43,6 +43,10 @@ LEAST = 4
 TURNS = ((30, 8), (60, 4), (160, 2))
 #: Buckets up to this many members are compared pairwise; larger ones through a hub first.
 BUCKET = 64
+#: Members of large buckets are counted against each other in blocks of about so many.
+BLOCK = 256
+#: Features whose columns of a block are multiplied at once.
+CHUNK = 8192
 
 #: Bits of a sketch, and how far below the expected agreement (in standard deviations) a pair is left out unverified.
 SKETCH = 256
@@ -198,10 +202,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.mapInArrow(_similar(threshold), "a long, b long, near boolean").where("near").select("a", "b")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, per_part: float = PER_PART, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(doc, h) membership of content classes, and (a, b) verified links between different contents.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common features of each set of the left with each of the right, as a matrix."""
+    flat = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(f) for f in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    at = [np.searchsorted(both, f) for f in flat]
+    out = np.zeros((len(left), len(right)))
+    for begin in range(0, len(both), CHUNK):
+        cells = []
+        for x, f, r, i in zip((left, right), flat, row, at):
+            use = np.flatnonzero((i >= begin) & (i < min(begin + CHUNK, len(both))))
+            use = use[both[i[use]] == f[use]]
+            m = np.zeros((len(x), CHUNK), np.float32)
+            m[r[use], i[use] - begin] = 1
+            cells.append(m)
+        out += cells[0] @ cells[1].T
+    return out
+
+
+def _block_degrees(threshold: float):
+    def run(block: pa.Table) -> pa.Table:
+        h, own, x, y = (np.array(block.column(c).to_pylist()) for c in ("h", "own", "x", "y"))
+        features = [runs(np.frombuffer(t.encode("utf-32-le"), np.int32)) for t in block.column("folded").to_pylist()]
+        size = np.array([len(f) for f in features], np.float64)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        both = overlaps([features[i] for i in left], [features[i] for i in right])
+        near = both >= threshold * (size[left][:, None] + size[right][None] - both) - 1e-9
+        near &= h[left][:, None] != h[right][None]
+        # a block met with itself has every link in its row and in its column
+        ends = [(left, near.sum(1))] + ([(right, near.sum(0))] if x[0] != y[0] else [])
+        return pa.table({"h": pa.array(np.concatenate([h[i] for i, _ in ends]), pa.int64()), "n": pa.array(np.concatenate([n for _, n in ends]), pa.int64())})
 
-    docs: (doc, text) without null texts.
+    return run
+
+
+def inner_degrees(inner: DataFrame, folded: DataFrame, threshold: float) -> DataFrame:
+    """(h, n): to how many others of its component each content is linked, all of them compared.
+
+    inner: (h, component); folded: (h, folded). Contents go to blocks by hash and every two blocks of a component meet
+    in one group, so no task holds a whole component, and what is shuffled grows with the blocks, not the pairs.
+    """
+    blocks = inner.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = inner.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("h"), F.col("k")).cast("int")).join(folded, "h")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h", "folded")
+    return rows.groupBy("component", "x", "y").applyInArrow(_block_degrees(threshold), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, per_part: float = PER_PART, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc, h) membership of content classes, (a, b) verified links between different contents, and h near a hub.
+
+    The links join all similar contents, but two contents that are both near the hub of a large bucket may not be
+    linked directly; without large buckets the third is None. docs: (doc, text) without null texts.
     """
     members = cut(docs.mapInArrow(_sketched, "doc long, h long, sketch binary"))
     sigs = docs.mapInArrow(_sign(threshold, parts, per_part, least), "sig long, h long")
@@ -231,30 +284,47 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, per
 
     pairs = promising(pairs)
     found = cut(_verified(pairs, texts_of(pairs), threshold))
+    inner = None
     if hot:  # members of a large bucket that are not near its hub are compared with all its members
         near = found.select(F.col("a").alias("hub"), F.col("b").alias("h"))
         far = large.where("h <> hub").join(near, ["hub", "h"], "left_anti")
+        inner = cut(large.where("h <> hub").join(near, ["hub", "h"], "left_semi").select("h").distinct())
         rest = far.select("sig", F.col("h").alias("x")).join(large.select("sig", F.col("h").alias("y")), "sig").where("x <> y")
         rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         rest = promising(rest.join(pairs, ["a", "b"], "left_anti"))
         found = cut(found.union(_verified(rest, texts_of(rest), threshold)))
-    return members.select("doc", "h"), found
+    return members.select("doc", "h"), found, inner
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def degrees(docs: DataFrame, members: DataFrame, found: DataFrame, inner: DataFrame | None, comp: DataFrame, threshold: float) -> DataFrame:
+    """(h, n_links) of the contents that have links."""
+    both = found.union(found.select("b", "a"))
+    if inner is None:
+        return both.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"))
+    # links between two contents near a hub are counted among all such contents of the component, the others are all found
+    flag = [inner.select(F.col("h").alias(e), F.lit(1).alias("i" + e)) for e in ("a", "b")]
+    outer = both.join(flag[0], "a", "left").join(flag[1], "b", "left").where("ia is null or ib is null")
+    first = members.join(inner, "h", "left_semi").groupBy("h").agg(F.min("doc").alias("doc"))
+    folded = docs.join(first.select("doc"), "doc", "left_semi").mapInArrow(_folded, "h long, folded string").dropDuplicates(["h"])
+    within = inner_degrees(inner.join(comp, "h"), folded, threshold)
+    return outer.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n")).union(within).groupBy("h").agg(F.sum("n").alias("n_links"))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, counted: bool = True) -> DataFrame:
     """(doc, group_id, n_links): one row per document; group_id is the smallest document of its group.
 
-    n_links counts the different contents its own content is linked to; exact copies are no links.
+    n_links counts the different contents its own content is linked to; exact copies are no links. Unless counted, it is left out.
     """
     docs = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    members, found = links(docs, threshold)
-    both = found.union(found.select("b", "a"))
-    degree = both.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"))
+    members, found, inner = links(docs, threshold)
     comp = connected_components(found, "a", "b").select(F.col("node").alias("h"), "component")
-    rows = members.distinct().join(comp, "h", "left").join(degree, "h", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "h"))
+    rows = members.distinct().join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
     first = rows.groupBy("component").agg(F.min("doc").alias("group_id"))
-    return rows.join(first, "component").select("doc", "group_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    rows = rows.join(first, "component")
+    if not counted:
+        return rows.select("doc", "group_id")
+    degree = degrees(docs, members, found, inner, comp, threshold)
+    return rows.join(degree, "h", "left").select("doc", "group_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.grouped_pairs(neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text"))
+    return neardup.grouped_pairs(neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", counted=False))
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:

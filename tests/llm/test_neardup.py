@@ -76,6 +76,29 @@ def test_large_bucket_goes_through_its_hub(spark, monkeypatch):
     assert {tuple(sorted(g)) for g in got.values()} == brute(texts)
 
 
+def test_links_of_large_buckets_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(6)
+    texts = {}
+    for family in range(2):
+        words = ["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(80)]
+        texts |= {100 * family + i: " ".join(edited(rng, words, 0.05)) for i in range(16)}
+    want = {i: sum(similarity(t, u) >= neardup.THRESHOLD for j, u in texts.items() if i != j) for i, t in texts.items()}
+    rows = [*texts.items(), (300, texts[0])]  # a copy is no link
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc: r.n_links for r in neardup.near_duplicates(df, "doc_id", "text").collect()}
+    assert got == want | {300: want[0]} and 0 < sum(want.values())
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, k).astype(np.uint64)) for k in (0, 1, 9, 30, 40)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
+    assert neardup.overlaps(sets, sets[1:]).tolist() == want
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     missed = 0
