@@ -40,8 +40,6 @@ ELLIPSIS = "…⋯"
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", '"': '"', "〝": "〞", "＂": "＂"}
 CLOSERS = "”“»«」』\"〞＂)）]】〉》’'"
 OPENERS = "¿¡“„«「『\"(（[【〈《‘'"
-#: Entries a model may hold; those of the highest score stay.
-MODEL_ENTRIES = 50_000
 ABBREVIATION = 0.3
 COLLOCATION = 7.88
 STARTER = 30.0
@@ -358,21 +356,20 @@ def learn(texts: DataFrame) -> dict[str, Model]:
     score = score + F.when((open_ > 0) & (F.col("plain") <= open_) & (letters <= 5), F.lit(ABBREVIATION)).otherwise(0.0)
     title = (F.col("upper") > 0) & (F.col("followers") >= F.least(0.3 * F.col("upper"), F.lit(3.0))) & (F.col("common") <= 0.05 * F.col("upper")) & (F.col("end") + F.col("lower") + F.col("in") <= 0.02 * F.col("dotted"))
     abbr = scored.where("a not in ('#', '##')").select("lang", "a", score.alias("score"), title.alias("title"), (F.col("plain") + F.col("dotted")).alias("n")).where(F.col("score") >= ABBREVIATION)
-    abbr = abbr.orderBy(F.desc("score"), "lang", "a").limit(MODEL_ENTRIES)
-    leads = by_word.where("a not in ('#', '##') and digit >= 2 and digit >= 0.5 * dotted").orderBy(F.desc("digit"), "lang", "a").limit(MODEL_ENTRIES)
+    leads = by_word.where("a not in ('#', '##') and digit >= 2 and digit >= 0.5 * dotted")
     # starters: after a sure boundary more often than elsewhere
     use = n.where("kind in ('l', 'u', 's')").groupBy("lang", "a").agg(
         F.sum(F.when(F.col("kind") != "s", F.col("n")).otherwise(0)).alias("x0"), F.sum(F.when(F.col("kind") == "s", F.col("n")).otherwise(0)).alias("k0")
     )
     whole = use.groupBy("lang").agg(F.sum("x0").alias("t0"), F.sum("k0").alias("y0"))
-    starters = _llr(use.join(whole, "lang")).where(f"llr >= {STARTER} and k / x > y / t").orderBy(F.desc("llr"), "lang", "a").limit(MODEL_ENTRIES)
+    starters = _llr(use.join(whole, "lang")).where(f"llr >= {STARTER} and k / x > y / t")
     # collocations of numbers and initials with the next word
     after = n.where("kind in ('p', 'q') and (a = '#' or length(a) = 1)").groupBy("lang", "a", "b").agg(F.sum("n").alias("k0"))
     left = by_word.select("lang", "a", F.col("dotted").alias("x0"))
     right = use.select("lang", F.col("a").alias("b"), F.col("x0").alias("y0"))
     pairs2 = _llr(after.join(left, ["lang", "a"]).join(right, ["lang", "b"]).join(whole.select("lang", "t0"), "lang"))
-    colloc = pairs2.where(f"llr >= {COLLOCATION} and k / x > y / t and k >= 5").orderBy(F.desc("llr"), "lang", "a", "b").limit(MODEL_ENTRIES)
-    inside = n.where("kind = 'q'").join(abbr.select("lang", "a"), ["lang", "a"]).orderBy(F.desc("n"), "lang", "a", "b").limit(MODEL_ENTRIES)
+    colloc = pairs2.where(f"llr >= {COLLOCATION} and k / x > y / t and k >= 5")
+    inside = n.where("kind = 'q'").join(abbr.select("lang", "a"), ["lang", "a"])
     out: dict[str, Model] = {}
     for r in abbr.toLocalIterator():
         m = out.setdefault(r.lang, Model())

@@ -136,3 +136,11 @@ def test_label_model_separates_classes():
 def test_numbers_in_both_scales():
     assert pairdefects.numbers("476.41 million and 1,234 and 3.50 percent") == {"476410000", "1234", "3.5"}
     assert pairdefects.numbers("47641万，618.74亿，1234，3.5%") == {"476410000", "61874000000", "1234", "3.5"}
+
+
+def test_learned_entries_are_not_capped(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "MODEL_ENTRIES", 1, raising=False)
+    words = ["abt", "qty", "vol"]
+    texts = [(f"The clerk wrote the {w}. of goods down in the large book number {k} today. Nobody knew about the old list.",) for w in words for k in range(30)]
+    models = sentences.learn(spark.createDataFrame(texts, "text string"))
+    assert set(words) <= set().union(*(m.abbreviations for m in models.values()))
