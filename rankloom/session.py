@@ -75,14 +75,28 @@ def ship(spark: SparkSession) -> None:
     sc._rankloom_shipped = True
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Like cut, by a table written to the shared folder and read back.
 
-    The plan starts afresh, without the constraints a checkpoint inherits; those of long loops grow with every round.
+    The plan starts afresh, without the constraints a checkpoint inherits; those of long loops grow with every
+    round. The table of an earlier round that it replaces is deleted, so that a loop holds one or two.
     """
-    at = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    out = spark.read.parquet(at)
+    out._stored_at = at
+    if replaces is not None:
+        drop_stored(replaces)
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the table behind what stored() gave; nothing that is still to be computed may depend on it."""
+    at = getattr(df, "_stored_at", None)
+    if at:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
