@@ -102,6 +102,15 @@ def _letters_sql(c: str) -> str:
     return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+_WON = """WITH RECURSIVE c AS (SELECT obs_id, lower(trim(candidate_a)) AS a, lower(trim(candidate_b)) AS b,
+        coalesce(nullif(lower(trim(winner)), ''), lower(trim(ranking[1]))) AS w FROM pairwise_observations),
+      v AS (SELECT obs_id, min((a, b, w)) AS v FROM c WHERE obs_id IS NOT NULL AND a <> b AND a <> '' AND b <> '' AND w IN (a, b) GROUP BY obs_id),
+      won AS (SELECT v[3] AS i, CASE WHEN v[3] = v[1] THEN v[2] ELSE v[1] END AS j, count(*) AS n FROM v GROUP BY ALL),
+      sys AS (SELECT DISTINCT i AS x FROM won UNION SELECT DISTINCT j FROM won),
+      cell AS (SELECT p.x AS i, q.x AS j, coalesce(w.n, 0) AS n, coalesce(l.n, 0) AS m FROM sys p CROSS JOIN sys q
+        LEFT JOIN won w ON w.i = p.x AND w.j = q.x LEFT JOIN won l ON l.i = q.x AND l.j = p.x),
+"""
+
 ORACLE: dict[str, str] = {
     "p3_found": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS raw, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT DISTINCT 'ec_400_with_candidates', sample_id, source_text, {_form_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
@@ -121,18 +130,25 @@ ORACLE: dict[str, str] = {
       run AS (SELECT item_id, unnest(list_transform(generate_series(1, length(t) - k + 1), lambda p: substr(t, p, k))) AS x FROM h)
       SELECT DISTINCT doc_id, item_id FROM d JOIN run ON contains(d.t, run.x)""",
     # the most likely strengths of the same smoothed counts, by a minorising iteration instead of scaling
-    "p4_found": f"""WITH RECURSIVE c AS (SELECT obs_id, lower(trim(candidate_a)) AS a, lower(trim(candidate_b)) AS b,
-        coalesce(nullif(lower(trim(winner)), ''), lower(trim(ranking[1]))) AS w FROM pairwise_observations),
-      v AS (SELECT obs_id, min((a, b, w)) AS v FROM c WHERE obs_id IS NOT NULL AND a <> b AND a <> '' AND b <> '' AND w IN (a, b) GROUP BY obs_id),
-      won AS (SELECT v[3] AS i, CASE WHEN v[3] = v[1] THEN v[2] ELSE v[1] END AS j, count(*) AS n FROM v GROUP BY ALL),
-      sys AS (SELECT DISTINCT i AS x FROM won UNION SELECT DISTINCT j FROM won),
-      cell AS (SELECT p.x AS i, q.x AS j, coalesce(w.n, 0) AS n, coalesce(l.n, 0) AS m FROM sys p CROSS JOIN sys q
-        LEFT JOIN won w ON w.i = p.x AND w.j = q.x LEFT JOIN won l ON l.i = q.x AND l.j = p.x),
-      line AS (SELECT i, sum(CASE WHEN n + m > 0 THEN n + {ranking.SMOOTHING} ELSE 0 END)::DOUBLE AS wins,
+    "p4_found": f"""{_WON}      line AS (SELECT i, sum(CASE WHEN n + m > 0 THEN n + {ranking.SMOOTHING} ELSE 0 END)::DOUBLE AS wins,
         list((CASE WHEN n + m > 0 THEN n + m + 2 * {ranking.SMOOTHING} ELSE 0 END)::DOUBLE ORDER BY j) AS met FROM cell GROUP BY i),
       whole AS (SELECT list(i ORDER BY i) AS names, list(wins ORDER BY i) AS w, list(met ORDER BY i) AS met, count(*)::INT AS n FROM line),
       it AS (SELECT 0 AS k, list_transform(w, lambda x: 1.0::DOUBLE) AS s FROM whole
         UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda p: w[p] / list_sum(list_transform(range(1, n + 1), lambda q: met[p][q] / (s[p] + s[q])))) FROM it, whole WHERE k < 1500),
       last AS (SELECT unnest(names) AS x, ln(unnest(s)) AS s FROM it, whole WHERE k = 1500)
       SELECT a.x AS system_a, b.x AS system_b, CASE WHEN a.s > b.s THEN a.x ELSE b.x END AS stronger FROM last a JOIN last b ON a.x < b.x AND abs(a.s - b.s) > 0.75""",
+    # the scaling itself, without relaxation
+    "p4_ranking": f"""{_WON}
+      full_cell AS (SELECT i, j, (CASE WHEN n + m > 0 THEN n + {ranking.SMOOTHING} ELSE 0 END)::DOUBLE AS v FROM cell),
+      tie AS (SELECT sum(v) / count(DISTINCT i) AS t FROM full_cell),
+      by_row AS (SELECT i, list(CASE WHEN i = j THEN t ELSE v END ORDER BY j) AS r FROM full_cell, tie GROUP BY i),
+      by_col AS (SELECT j, list(CASE WHEN i = j THEN t ELSE v END ORDER BY i) AS c FROM full_cell, tie GROUP BY j),
+      whole AS (SELECT (SELECT list(i ORDER BY i) FROM by_row) AS names, (SELECT list(r ORDER BY i) FROM by_row) AS rows, (SELECT list(c ORDER BY j) FROM by_col) AS cols, (SELECT count(*)::INT FROM by_row) AS n),
+      it AS (SELECT 0 AS k, list_transform(names, lambda x: 1.0::DOUBLE) AS o, list_transform(names, lambda x: 1.0::DOUBLE) AS d FROM whole
+        UNION ALL SELECT k + 1, o2, list_transform(range(1, n + 1), lambda q: list_sum(list_transform(range(1, n + 1), lambda p: cols[q][p] / o2[p])))
+        FROM (SELECT k, n, cols, list_transform(range(1, n + 1), lambda p: list_sum(list_transform(range(1, n + 1), lambda q: rows[p][q] / d[q]))) AS o2 FROM it, whole WHERE k < 1000)),
+      raw AS (SELECT unnest(names) AS x, unnest(list_transform(range(1, n + 1), lambda p: ln(o[p] / d[p]))) AS s FROM it, whole WHERE k = 1000),
+      last AS (SELECT x, round(s - (SELECT avg(s) FROM raw), 6) AS s FROM raw),
+      met AS (SELECT x, sum(n)::BIGINT AS n FROM (SELECT i AS x, n FROM won UNION ALL SELECT j, n FROM won) GROUP BY x)
+      SELECT row_number() OVER (ORDER BY s DESC, x) AS place, x AS system, s AS log_strength, round(exp(s), 6) AS strength, n AS decided FROM last JOIN met USING (x)""",
 }

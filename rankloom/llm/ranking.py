@@ -1,17 +1,22 @@
 """Global ranking from pairwise verdicts by offence-defence scaling.
 
-The smoothed win matrix A (A[i][j]: times i beat j) is balanced by alternating row and column
-scalings: row i is divided by the item's offence, column j by the item's defence, and offence over
-defence is the strength. If A[i][j] = s_i * q_ij with any symmetric q, as in the Bradley-Terry model with
-uneven numbers of comparisons, the scalings of the symmetric part cancel and offence / defence is s
-exactly, so log strengths are log-odds. Symmetric factors and the diagonal are therefore free: cells are
-weighted by sqrt(s_i s_j) / (s_i + s_j) of the current strengths and by the roots of both items' offence
-times defence, and a constant diagonal is added. With these the fixed point is the most likely strengths
-of the smoothed counts, and the scaling converges for every pattern of comparisons. Items that no chain of comparisons links can't be ranked against each
-other; their strengths are those within their own part.
-
-Only the (winner, loser) counts of systems are iterated on. They are collected when there are at most
-MAX_LOCAL_PAIRS of them (checked); beyond that the same iterations run as DataFrame aggregations.
+The smoothed win matrix A (A[i][j]: times i beat j) is balanced by Sinkhorn iterations: the offence of an
+item is the sum of its row over the defences of those it beat, its defence the sum of its column over the
+offences of those that beat it, and offence over defence is its strength. If A[i][j] = s_i * q_ij with any
+symmetric q, as in the Bradley-Terry model with uneven numbers of comparisons, the scalings of the symmetric
+part cancel and offence / defence is s, so log strengths are log-odds.
+
+Smoothing adds SMOOTHING wins in either direction to every pair that was compared, and to every item as many
+ties with itself as an item has wins on average. Both are symmetric. With the ties every pattern of
+comparisons has a balanced form, and items of few comparisons don't weigh more than those of many. Items
+that no chain of comparisons links can't be ranked against each other; their strengths are those within their
+own part.
+
+Both scalings are over-relaxed in logarithms by the rate at which they settle (Pace). They stop when no
+log offence or defence moves by more than TOLERANCE, and raise if ROUNDS rounds don't suffice. Only the
+(winner, loser) counts of systems are iterated on: on the driver if they are at most MAX_LOCAL_PAIRS
+(checked, a few sparse arrays), else by the same iterations as DataFrame aggregations with the same pace,
+tolerance and bound.
 """
 
 from __future__ import annotations
@@ -20,11 +25,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.screening import numbered
 from ..session import cut, stored
 
 MAX_LOCAL_PAIRS = 250_000
 #: Wins added in either direction to every pair that was compared at all.
 SMOOTHING = 0.1
+TOLERANCE = 1e-9
+ROUNDS = 20_000
 
 
 def _clean(c: str) -> Column:
@@ -51,60 +59,95 @@ def win_counts(won: DataFrame) -> DataFrame:
     return won.groupBy("winner", "loser").agg(F.count("*").alias("n"))
 
 
-def scale_local(counts: list[tuple[str, str, float]], smoothing: float = SMOOTHING, tol: float = 1e-10, rounds: int = 20000) -> dict[str, float]:
+class Pace:
+    """The relaxation of the next round from the moves of the rounds so far.
+
+    Plain rounds (1.0) show the rate r at which moves shrink; 2 / (1 + sqrt(1 - r)) is the best relaxation
+    for it. Later the rate of the relaxed rounds is traced back to that of plain ones, and where moves
+    grow the relaxation is lowered.
+    """
+
+    FIRST, AGAIN, OVER = 12, 40, 6
+
+    def __init__(self):
+        self.omega, self.moves, self.since = 1.0, [], 0
+
+    def next(self, move: float) -> float:
+        self.moves.append(move)
+        self.since += 1
+        if self.since < (self.FIRST if self.omega == 1 else self.AGAIN) or move == 0:
+            return self.omega
+        self.since = 0
+        r = (move / self.moves[-1 - self.OVER]) ** (1 / self.OVER)
+        if r >= 1:
+            self.omega = 1 + (self.omega - 1) * 0.7
+        else:
+            plain = r if self.omega == 1 else (r + self.omega - 1) ** 2 / (self.omega**2 * r)
+            self.omega = 2 / (1 + np.sqrt(1 - min(plain, 0.999999)))
+        return self.omega
+
+
+def scale_local(counts: list[tuple[str, str, float]], smoothing: float = SMOOTHING) -> dict[str, float]:
     """Log strength by item, mean 0."""
     items = sorted({x for w, l, _ in counts for x in (w, l)})
     if not items:
         return {}
-    at = {x: i for i, x in enumerate(items)}
-    n = len(items)
-    A = np.zeros((n, n))
-    for w, l, c in counts:
-        A[at[w], at[l]] += c
-    A += smoothing * ((A + A.T) > 0)
-    diagonal = (A + A.T).sum(1).max() / 2
-    s, dfn = np.zeros(n), np.full(n, np.sqrt(diagonal))
-    for _ in range(rounds):
-        half = (s[:, None] - s[None]) / 2
-        size = dfn * np.exp(s / 2)  # root of offence times defence
-        M = A / (np.exp(half) + np.exp(-half)) * np.outer(size, size) / diagonal + np.diag(np.full(n, diagonal))
-        off = M @ (1 / dfn)
-        dfn = M.T @ (1 / off)
-        last, s = s, np.log(off / dfn)
-        if np.abs(s - last).max() < tol:
+    at = {x: k for k, x in enumerate(items)}
+    size = len(items)
+    w, l = (np.array([at[c[k]] for c in counts], np.int64) for k in (0, 1))
+    cell, where = np.unique(np.r_[w * size + l, l * size + w], return_inverse=True)
+    v = np.bincount(where, np.r_[[float(c[2]) for c in counts], np.zeros(len(counts))]) + smoothing
+    i, j = cell // size, cell % size
+    ties = v.sum() / size
+    offence, defence = np.zeros(size), np.full(size, np.log(ties))
+    pace, omega = Pace(), 1.0
+    for _ in range(ROUNDS):
+        up = np.log(np.bincount(i, v * np.exp(-defence[j]), size) + ties * np.exp(-defence)) - offence
+        offence = offence + omega * up
+        down = np.log(np.bincount(j, v * np.exp(-offence[i]), size) + ties * np.exp(-offence)) - defence
+        defence = defence + omega * down
+        move = float(max(np.abs(up).max(), np.abs(down).max()))
+        if move < TOLERANCE:
             break
+        omega = pace.next(move)
+    else:
+        raise RuntimeError(f"the scaling has not settled after {ROUNDS} rounds: the last move was {move}")
+    s = offence - defence
     return {x: float(v) for x, v in zip(items, s - s.mean())}
 
 
-def scale_distributed(counts: DataFrame, smoothing: float = SMOOTHING, rounds: int = 400, tol: float = 1e-6) -> DataFrame:
-    """(system, log_strength) by the same scaling, for more items than the driver should hold.
+def scale_distributed(counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """(system, log_strength) by the same scaling, for more pairs than the driver should hold.
 
-    Each round is two sums over the pairs, joined with one row per item.
+    Each round is two sums over the pairs, joined with one row per item; its state replaces the one before.
     """
     both = counts.select(F.col("winner").alias("i"), F.col("loser").alias("j"), "n").union(counts.select("loser", "winner", F.lit(0).cast("bigint")))
-    A = cut(both.groupBy("i", "j").agg((F.sum("n") + smoothing).alias("n")))
-    total = A.select("i", "n").union(A.select("j", "n")).groupBy("i").agg((F.sum("n") / 2).alias("t"))
-    diagonal = total.agg(F.max("t")).first()[0]
-    if diagonal is None:
+    A = cut(both.groupBy("i", "j").agg((F.sum("n") + smoothing).alias("v")))
+    items = A.groupBy(F.col("i").alias("x")).agg(F.sum("v").alias("v"))
+    total = items.agg(F.sum("v") / F.count("*")).first()[0]
+    if total is None:
         return counts.sparkSession.createDataFrame([], "system string, log_strength double")
-    state = cut(total.select(F.col("i").alias("x"), F.lit(float(diagonal) ** 0.5).alias("d"), F.lit(0.0).alias("s")))
-    size = lambda d, s: F.col(d) * F.exp(F.col(s) / 2)
-    for _ in range(rounds):
-        a = state.select(F.col("x").alias("i"), F.col("s").alias("si"), F.col("d").alias("di"))
-        b = state.select(F.col("x").alias("j"), F.col("s").alias("sj"), F.col("d").alias("dj"))
-        half = (F.col("si") - F.col("sj")) / 2
-        M = A.join(a, "i").join(b, "j").select("i", "j", "dj", (F.col("n") / (F.exp(half) + F.exp(-half)) * size("di", "si") * size("dj", "sj") / diagonal).alias("m"))
-        rows = M.groupBy(F.col("i").alias("x")).agg(F.sum(F.col("m") / F.col("dj")).alias("o"))
-        off = state.join(rows, "x", "left").select("x", "s", (F.coalesce("o", F.lit(0.0)) + diagonal / F.col("d")).alias("o"))
-        cols = M.join(off.select(F.col("x").alias("i"), "o"), "i").groupBy(F.col("j").alias("x")).agg(F.sum(F.col("m") / F.col("o")).alias("d"))
-        nxt = off.join(cols, "x", "left").withColumn("d", F.coalesce("d", F.lit(0.0)) + diagonal / F.col("o"))
-        nxt = stored(nxt.select("x", "d", F.log(F.col("o") / F.col("d")).alias("s"), F.abs(F.log(F.col("o") / F.col("d")) - F.col("s")).alias("gap")))
-        gap = nxt.agg(F.max("gap")).first()[0]
-        state = nxt.drop("gap")
-        if gap < tol:
+    ties = float(total)
+    state = stored(items.select("x", F.lit(0.0).alias("o"), F.lit(float(np.log(ties))).alias("d")))
+    pace, omega = Pace(), 1.0
+    for _ in range(ROUNDS):
+        by_j = state.select(F.col("x").alias("j"), "d")
+        rows = A.join(by_j, "j").groupBy(F.col("i").alias("x")).agg(F.sum(F.col("v") * F.exp(-F.col("d"))).alias("t"))
+        up = F.log(F.col("t") + ties * F.exp(-F.col("d"))) - F.col("o")
+        off = state.join(rows, "x").select("x", "d", (F.col("o") + omega * up).alias("o"), F.abs(up).alias("up"))
+        by_i = off.select(F.col("x").alias("i"), "o")
+        cols = A.join(by_i, "i").groupBy(F.col("j").alias("x")).agg(F.sum(F.col("v") * F.exp(-F.col("o"))).alias("t"))
+        down = F.log(F.col("t") + ties * F.exp(-F.col("o"))) - F.col("d")
+        nxt = off.join(cols, "x").select("x", "o", (F.col("d") + omega * down).alias("d"), F.greatest("up", F.abs(down)).alias("move"))
+        state = stored(nxt, replaces=state)
+        move = state.agg(F.max("move")).first()[0]
+        if move < TOLERANCE:
             break
-    mean = state.agg(F.avg("s").alias("m"))
-    return state.join(F.broadcast(mean)).select(F.col("x").alias("system"), (F.col("s") - F.col("m")).alias("log_strength"))
+        omega = float(pace.next(move))
+    else:
+        raise RuntimeError(f"the scaling has not settled after {ROUNDS} rounds: the last move was {move}")
+    mean = state.agg(F.avg(F.col("o") - F.col("d"))).first()[0]
+    return state.select(F.col("x").alias("system"), (F.col("o") - F.col("d") - mean).alias("log_strength"))
 
 
 def strengths(counts: DataFrame) -> DataFrame:
@@ -118,20 +161,26 @@ def strengths(counts: DataFrame) -> DataFrame:
 
 
 def global_ranking(df: DataFrame) -> DataFrame:
-    """(place, system, log_strength, strength, decided): strongest first, ties by name."""
+    """(place, system, log_strength, strength, decided): strongest first, ties by name; six digits."""
     counts = win_counts(verdicts(df))
     s = strengths(counts)
     n = counts.select(F.col("winner").alias("system"), "n").union(counts.select("loser", "n")).groupBy("system").agg(F.sum("n").alias("decided"))
-    return s.join(n, "system").selectExpr(
-        "cast(rank() over (order by log_strength desc) as int) as place", "system", "log_strength", "exp(log_strength) as strength", "decided"
+    rows = s.join(n, "system").select("system", F.round("log_strength", 6).alias("log_strength"), "decided").withColumn("weakness", -F.col("log_strength"))
+    return numbered(rows, ["weakness", "system"]).select(
+        (F.col("row_no") + 1).alias("place"), "system", "log_strength", F.round(F.exp("log_strength"), 6).alias("strength"), "decided"
     )
 
 
 def stronger_pairs(df: DataFrame, gap: float = 0.75) -> DataFrame:
-    """(system_a, system_b, stronger) for every pair of systems whose log strengths differ by more than gap."""
-    s = strengths(win_counts(verdicts(df)))
-    t = s.select(F.col("system").alias("t"), F.col("log_strength").alias("u"))
-    return s.join(t, (F.col("system") < F.col("t")) & (F.abs(F.col("log_strength") - F.col("u")) > gap)).select(
-        F.col("system").alias("system_a"), F.col("t").alias("system_b"),
-        F.when(F.col("log_strength") > F.col("u"), F.col("system")).otherwise(F.col("t")).alias("stronger"),
+    """(system_a, system_b, stronger) for every pair of systems whose log strengths differ by more than gap.
+
+    Strengths fall into cells of width gap. A system is listed once for each later cell that is taken, and
+    meets the systems of that cell by an equi-join; only those of the next cell can be too close.
+    """
+    s = strengths(win_counts(verdicts(df))).withColumn("cell", F.floor(F.col("log_strength") / gap))
+    taken = s.agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # as many as the range of strengths has cells
+    weak = s.join(F.broadcast(taken)).select(
+        F.col("system").alias("weak"), F.col("log_strength").alias("low"), F.explode(F.filter("cells", lambda c: c > F.col("cell"))).alias("cell")
     )
+    pairs = weak.join(s, "cell").where(F.col("log_strength") - F.col("low") > gap)
+    return pairs.select(F.least("weak", "system").alias("system_a"), F.greatest("weak", "system").alias("system_b"), F.col("system").alias("stronger"))
