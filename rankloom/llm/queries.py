@@ -26,7 +26,11 @@ def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.reweighted(consensus.votes(table(spark, d, "judge_rankings")))[0].select("sample_id", "label")
+    return consensus.found(table(spark, d, "judge_rankings"))
+
+
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "judge_rankings"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +87,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_pieces(spark, d).where("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_agreement, p2_consensus, p2_found, p2_reliability, p3_found, p3_forms, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p7_containers, p8_found, p8_leaks, p9_found, p9_pieces)}
 
 
 def _form_sql(c: str) -> str:
@@ -102,6 +106,39 @@ def _letters_sql(c: str) -> str:
     return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+# rankings, each (sample, judge, rep) once, counted by sample, judge and order
+_KNOWN = "list_filter({0}, lambda x: x IN ('A','B','C','D','E','F'))"
+_ORDER = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), '')"
+_BALLOTS = f"""WITH lists AS (SELECT sample_id, lower(trim(judge)) AS judge, coalesce(rep, -1) AS rep,
+        {_KNOWN.format("list_transform(ranking, lambda x: upper(trim(t_map[upper(trim(x))])))")} AS l, {_KNOWN.format("list_transform(letter_ranking, lambda x: upper(trim(x)))")} AS g FROM judge_rankings),
+      raw AS (SELECT sample_id, judge, rep, coalesce(nullif({_ORDER.format('l')}, ''), {_ORDER.format('g')}) AS letters FROM lists),
+      once AS (SELECT sample_id, judge, rep, min(letters) AS letters FROM raw WHERE sample_id IS NOT NULL AND judge IS NOT NULL AND letters <> '' GROUP BY ALL),
+      counted AS (SELECT sample_id, judge, letters, letters[1] AS x, count(*) AS c FROM once GROUP BY ALL)"""
+
+
+def _rounds_sql(rounds: int = 10) -> str:
+    """The reweighting as so many rounds written one after the other; stable on the test tables long before."""
+    prior, chance = consensus.PRIOR, "[" + ", ".join(f"{x}::DOUBLE" for x in consensus.CHANCE) + "]"
+    out = [_BALLOTS, f"""w AS (SELECT sample_id, judge, letters, c / (1 + (sum(c) OVER (PARTITION BY sample_id, judge) - 1) * {consensus.REPEATS}) AS n FROM counted),
+      abc AS (SELECT unnest(['A','B','C','D','E','F']) AS x),
+      placed AS MATERIALIZED (SELECT sample_id, judge, x, instr(letters, x) + 1 AS p, n FROM w CROSS JOIN abc),
+      chance AS (SELECT {chance} AS q),
+      r0 AS (SELECT DISTINCT judge, [{", ".join(f"{x}::DOUBLE" for x in consensus.START)}] AS a FROM w)"""]
+    for i in range(rounds):
+        at = ", ".join(f"(coalesce(sum(CASE WHEN p = {p + 1} THEN n END), 0) + {prior} * q[{p + 1}]) / (coalesce(sum(CASE WHEN p IS NOT NULL THEN n END), 0) + {prior})" for p in range(consensus.K + 1))
+        out.append(f"""o{i} AS MATERIALIZED (SELECT sample_id, judge, x, sum(n * ln(a[p] / q[p])) AS v FROM placed JOIN r{i} USING (judge) CROSS JOIN chance GROUP BY ALL),
+      t{i} AS MATERIALIZED (SELECT sample_id, x, sum(v) AS t FROM o{i} GROUP BY ALL),
+      l{i} AS MATERIALIZED (SELECT sample_id, judge, min((-round(t - v, 9), x))[2] AS x FROM o{i} JOIN t{i} USING (sample_id, x) GROUP BY sample_id, judge HAVING max(t - v) - min(t - v) > 1e-9),
+      r{i + 1} AS MATERIALIZED (SELECT judge, [{at}] AS a FROM (SELECT r{i}.judge AS judge, p, n FROM r{i} LEFT JOIN (SELECT * FROM placed JOIN l{i} USING (sample_id, judge, x)) USING (judge)) CROSS JOIN chance GROUP BY judge, q)""")
+    out.append(f"""score AS (SELECT sample_id, x, round(sum(n * ln(a[p] / q[p])), 9) AS s FROM placed JOIN r{rounds} USING (judge) CROSS JOIN chance GROUP BY ALL),
+      best AS (SELECT sample_id, min((-s, x))[2] AS label, list_sort(list(s), 'DESC') AS top FROM score GROUP BY sample_id)""")
+    return ", ".join(out)
+
+
+_FIRST = """first AS (SELECT sample_id, x, sum(c)::BIGINT AS c FROM counted GROUP BY ALL),
+      per AS (SELECT sample_id, sum(c)::BIGINT AS t, sum(c * (c - 1))::BIGINT AS same FROM first GROUP BY sample_id HAVING sum(c) > 1),
+      exp AS (SELECT 1 - sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) AS e FROM (SELECT x, sum(c) AS c FROM first JOIN per USING (sample_id) GROUP BY x))"""
+
 _WON = """WITH RECURSIVE c AS (SELECT obs_id, lower(trim(candidate_a)) AS a, lower(trim(candidate_b)) AS b,
         coalesce(nullif(lower(trim(winner)), ''), lower(trim(ranking[1]))) AS w FROM pairwise_observations),
       v AS (SELECT obs_id, min((a, b, w)) AS v FROM c WHERE obs_id IS NOT NULL AND a <> b AND a <> '' AND b <> '' AND w IN (a, b) GROUP BY obs_id),
@@ -112,6 +149,13 @@ _WON = """WITH RECURSIVE c AS (SELECT obs_id, lower(trim(candidate_a)) AS a, low
 """
 
 ORACLE: dict[str, str] = {
+    "p2_found": f"{_rounds_sql()} SELECT sample_id, label FROM best",
+    "p2_consensus": f"""{_rounds_sql()}, {_FIRST} SELECT sample_id, label, round(top[1] - top[2], 4) AS margin, (SELECT sum(c)::BIGINT FROM first f WHERE f.sample_id = best.sample_id) AS n_votes,
+      round(same / (t * (t - 1)), 6) AS agreement, round(1 - (1 - same / (t * (t - 1))) / e, 6) AS alpha FROM best LEFT JOIN per USING (sample_id) CROSS JOIN exp""",
+    "p2_agreement": f"""{_BALLOTS}, {_FIRST} SELECT count(*) AS n_samples, sum(t)::BIGINT AS n_votes, round(sum(t - same / (t - 1)) / sum(t), 6) AS observed, round(any_value(e), 6) AS expected,
+      round(1 - sum(t - same / (t - 1)) / sum(t) / any_value(e), 6) AS alpha FROM per CROSS JOIN exp""",
+    "p2_reliability": f"""{_rounds_sql()} SELECT judge, sum(c)::BIGINT AS n_votes, round(any_value(a)[2], 6) AS accuracy, round((any_value(a)[2] - 1 / {consensus.K}) / (1 - 1 / {consensus.K}), 6) AS kappa
+      FROM counted JOIN r10 USING (judge) GROUP BY judge""",
     "p3_found": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS raw, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT DISTINCT 'ec_400_with_candidates', sample_id, source_text, {_form_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
       SELECT DISTINCT a.tab AS tab, a.k AS key_a, b.k AS key_b FROM v a JOIN v b ON a.tab = b.tab AND a.form = b.form AND a.k < b.k AND a.raw <> b.raw""",

@@ -64,6 +64,34 @@ def test_dirty_rankings(spark):
     assert consensus.consensus(empty).count() == 0 and consensus.reliability(empty).count() == 0
 
 
+def test_hot_samples_are_split_and_the_result_is_the_same(spark, monkeypatch):
+    _, rows = simulated(random.Random(4), 20)
+    rows += [row(f"extra{i}", 0, 1, "BACDEF") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {r.sample_id: (r.label, r.margin) for r in consensus.consensus(df).collect()}
+    assert len(whole) == 20
+    monkeypatch.setattr(consensus, "HOT", 7)
+    assert {r.sample_id: (r.label, r.margin) for r in consensus.consensus(df).collect()} == whole
+    assert consensus.ballots(consensus.votes(df)).where("sample_id = 0").select("part").distinct().count() > 1
+
+
+def test_unsettled_accuracies_raise(spark, monkeypatch):
+    _, rows = simulated(random.Random(5), 20)
+    monkeypatch.setattr(consensus, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        consensus.found(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_overall_agreement(spark):
+    rows = [row("j1", 1, 1, "ABCDEF"), row("j2", 1, 1, "ABCDEF"), row("j3", 1, 1, "BACDEF"), row("j1", 2, 1, "CABDEF"), row("j2", 2, 1, "CABDEF"), row("j1", 3, 1, "ABCDEF")]
+    got = consensus.agreement(spark.createDataFrame(rows, SCHEMA)).first()
+    # coincidences: sample 1 disagrees in 4 of 6 ordered pairs, sample 2 in none; values A A B C C
+    observed, expected = (4 / 2 + 0) / 5, 1 - (2 + 0 + 2) / 20
+    assert (got.n_samples, got.n_votes) == (2, 5) and abs(got.observed - observed) < 1e-6 and abs(got.alpha - (1 - observed / expected)) < 1e-6
+    none = consensus.agreement(spark.createDataFrame([], SCHEMA)).first()
+    assert none.n_samples == 0 and none.alpha is None
+
+
 OBS = "obs_id bigint, model string, candidate_a string, candidate_b string, winner string, ranking array<string>"
 
 
