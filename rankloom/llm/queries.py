@@ -33,14 +33,17 @@ def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "judge_rankings"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _texts_of_both_tables(spark: SparkSession, d: str) -> DataFrame:
     docs = lookalike.keyed(table(spark, d, "documents"), "documents", "doc_id", "text")
-    ec = lookalike.keyed(table(spark, d, "ec_400_with_candidates"), "ec_400_with_candidates", "sample_id", "source_text")
-    return lookalike.looking_alike(docs.union(ec))
+    return docs.union(lookalike.keyed(table(spark, d, "ec_400_with_candidates"), "ec_400_with_candidates", "sample_id", "source_text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.looking_alike(_texts_of_both_tables(spark, d))
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.consistent_form(table(spark, d, "documents"), "doc_id", "text")
+    return lookalike.consistent_form(_texts_of_both_tables(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +105,10 @@ def _form_sql(c: str) -> str:
     return f"nfc_normalize({out})"
 
 
+def _mapped_sql(c: str) -> str:
+    return _form_sql(c)[len("nfc_normalize(") : -1]
+
+
 def _letters_sql(c: str) -> str:
     return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
@@ -159,6 +166,9 @@ ORACLE: dict[str, str] = {
     "p3_found": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS raw, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL
       UNION ALL SELECT DISTINCT 'ec_400_with_candidates', sample_id, source_text, {_form_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
       SELECT DISTINCT a.tab AS tab, a.k AS key_a, b.k AS key_b FROM v a JOIN v b ON a.tab = b.tab AND a.form = b.form AND a.k < b.k AND a.raw <> b.raw""",
+    "p3_forms": f"""WITH v AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, {_mapped_sql('text')} AS m FROM documents WHERE text IS NOT NULL
+      UNION SELECT DISTINCT 'ec_400_with_candidates', sample_id, {_mapped_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
+      SELECT DISTINCT tab, k, min((length(m), k)) OVER (PARTITION BY tab, nfc_normalize(m))[2] AS canonical_key, nfc_normalize(m) AS form FROM v WHERE k IS NOT NULL""",
     # every pair of texts that share a run, so fit for small tables only
     "p5_found": f"""WITH RECURSIVE f AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
       r AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_transform(generate_series(1, length(t) - 4), lambda i: substr(t, i, 5)) END) AS x FROM f WHERE t <> ''),

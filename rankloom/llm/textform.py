@@ -1,8 +1,8 @@
 """One consistent form for texts that look alike, as array operations over code points.
 
 Fixed values: the look-alike letters below map a letter of another script to the Latin letter
-drawn with the same shape; blanks and invisible characters are the Unicode space separators and
-default-ignorable characters.
+drawn with the same shape, as in the published confusables data; letters that only resemble a Latin one
+(small Greek alpha, say) are left alone. Invisible characters are, by rule, all default-ignorable ones.
 """
 
 from __future__ import annotations
@@ -12,23 +12,30 @@ import sys
 import unicodedata
 
 import numpy as np
+import regex
 
-# Cyrillic and Greek letters drawn like Latin ones.
-LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ"
-LOOKALIKE_TO = "ABESIJKMHOPCTYXaesijopcyxdqwhABEZHIKMNOPTYXovcj"
-# Hyphens drawn alike, blanks other than line ends, invisible characters.
+# Cyrillic, Greek, Armenian and Cherokee letters drawn like Latin ones.
+LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳՍՏՕհոսօᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ"
+LOOKALIKE_TO = "ABESIJKMHOPCTYXaesijopcyxdqwhIABEZHIKMNOPTYXovcjUSOhnuoDRTAJEWMHGZVSLCPKB"
+# Hyphens drawn alike, blanks other than line ends.
 HYPHENS = "\u2010\u2011"
 BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff"
+
+
+@functools.cache
+def invisible() -> str:
+    """All default-ignorable characters: zero-width ones, soft hyphens, direction marks, fillers, variation selectors, tags."""
+    test = regex.compile(r"\p{Default_Ignorable_Code_Point}")
+    return "".join(c for cp in [*range(0xD800), *range(0xF900, 0x110000)] if test.match(c := chr(cp)))
 
 
 def compatibility_pairs() -> dict[str, str]:
-    """Width forms, ligatures and radicals with the ordinary characters they stand for, by rule.
+    """Width forms, ligatures, Roman numerals and radicals with the ordinary characters they stand for, by rule.
 
     The rule: every character of these blocks whose compatibility decomposition differs.
     """
     out = {}
-    for lo, hi in ((0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x2E80, 0x2EF3)):
+    for lo, hi in ((0x2160, 0x217F), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x2E80, 0x2EF3)):
         for cp in range(lo, hi + 1):
             to = unicodedata.normalize("NFKC", chr(cp))
             if to != chr(cp):
@@ -36,12 +43,12 @@ def compatibility_pairs() -> dict[str, str]:
     return out
 
 
+@functools.cache
 def single_map() -> dict[str, str]:
     """Characters replaced by exactly one character or by nothing."""
     out = {a: b for a, b in zip(LOOKALIKE_FROM, LOOKALIKE_TO)}
-    out |= {c: "-" for c in HYPHENS} | {c: " " for c in BLANKS} | {c: "" for c in INVISIBLE}
     out |= {a: b for a, b in compatibility_pairs().items() if len(b) == 1}
-    return out
+    return out | {c: "-" for c in HYPHENS} | {c: " " for c in BLANKS} | {c: "" for c in invisible()}
 
 
 def multi_map() -> dict[str, str]:

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.llm import lookalike
-from rankloom.llm.textform import LOOKALIKE_FROM, LOOKALIKE_TO, canonical, fold_codes, fold_slow, skeleton_map
+from rankloom.llm.textform import LOOKALIKE_FROM, LOOKALIKE_TO, canonical, fold_codes, fold_slow, single_map, skeleton_map
 
 
 def test_tables_fit():
@@ -44,13 +44,29 @@ def test_pairs_against_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert _pairs(lookalike.keyed(df, "documents", "doc_id", "text")) == set()
-    assert lookalike.consistent_form(df, "doc_id", "text").count() == 0
+    assert lookalike.consistent_form(lookalike.keyed(df, "t", "doc_id", "text")).count() == 0
 
 
-def test_consistent_form_is_shared(spark):
-    df = spark.createDataFrame([(1, "café"), (2, "café"), (3, "x" * 200_000), (4, None)], "id bigint, text string")
-    got = {r.id: (r.canonical_key, r.form) for r in lookalike.consistent_form(df, "id", "text").collect()}
-    assert got[1] == got[2] == (2, "café") and got[3][0] == 3 and 4 not in got
+def test_consistent_form_depends_on_its_own_text_only(spark):
+    rows = [(1, "cafe\u0301"), (2, "caf\u00e9"), (3, "x" * 200_000), (4, None), (5, "nai\u0308f \u2163 \ufe0fa\u3164"), (2, "na\u00efve"), (6, "\u1112\u1161\u11ab")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {(r.k, r.canonical_key, r.form) for r in lookalike.consistent_form(lookalike.keyed(df, "t", "id", "text")).collect()}
+    assert got == {(1, 2, "café"), (2, 2, "café"), (3, 3, "x" * 200_000), (5, 5, "naïf IV a"), (2, 2, "naïve"), (6, 6, "한")}
+
+
+def test_keys_with_texts_of_two_classes_glue_nothing(spark):
+    df = spark.createDataFrame([(1, "one A"), (1, "two B"), (2, "one \u0391"), (3, "two \u0392")], "id bigint, text string")
+    assert _pairs(lookalike.keyed(df, "t", "id", "text")) == {(1, 2), (1, 3)}
+
+
+def test_every_text_that_composition_changes_is_composed(spark):
+    changing = [chr(cp) for cp in [*range(0xA0, 0xD800), *range(0xF900, 0x30000)] if unicodedata.normalize("NFC", canonical_single(chr(cp))) != canonical_single(chr(cp))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(changing)], "id bigint, text string")
+    assert all(r.form == unicodedata.normalize("NFC", r.form) for r in lookalike.consistent_form(lookalike.keyed(df, "t", "id", "text")).collect())
+
+
+def canonical_single(c):
+    return single_map().get(c, c)
 
 
 def test_block_never_parts_equals(spark):
