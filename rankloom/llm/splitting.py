@@ -1,12 +1,12 @@
 """Oversized texts cut into pieces at natural boundaries, by dynamic programming.
 
-Sizes are tokens of a public tokenizer. A token offset that falls between two characters may be a cut;
-its penalty is that of the best boundary it lies on: paragraph, sentence, clause, word, none. Sentence
-and better boundaries are always possible cuts, those of a worse kind only in stretches without better
-ones that are longer than a FINER-th of the limit. Each piece after the first starts overlap_tokens before the cut (a token more where that offset
-lies inside a character). The cuts minimise the sum of the penalties and of the squared deviations of
-the pieces from the mean size, subject to the limit. A piece is counted again on its own; if a token at
-its start splits differently and the piece exceeds the limit, the text is cut again under a smaller one.
+Sizes are tokens of a public tokenizer. Every token offset that falls between two characters may be a cut;
+its penalty is that of the best boundary it lies on: paragraph, sentence, clause, word, none. Each piece after
+the first starts overlap_tokens before the cut (a token more where that offset lies inside a character). The
+cuts minimise, over all such offsets, the sum of the penalties and of the squared deviations of the pieces
+from the mean size, subject to the limit. A piece is counted again on its own; if a token at its start splits
+differently and the piece exceeds the limit, the text is cut again under a smaller one. If no smaller limit
+works, ValueError is raised; no piece is ever larger than the limit.
 
 A text within the limit is one piece; null and empty texts give no piece. Repeated rows give their
 pieces once per row.
@@ -26,7 +26,6 @@ from . import tokens
 
 PARAGRAPH, SENTENCE, CLAUSE, WORD, NONE = 0.0, 0.15, 0.6, 1.5, 6.0
 IMBALANCE = 4.0
-FINER = 8
 _ENDS = (
     (WORD, regex.compile(r"\s+|(?<=\p{Han}|\p{Hiragana}|\p{Katakana})")),
     (CLAUSE, regex.compile(r"[,;:、，；：]+[»”’\"'」』）)]*\s*(?!\d)")),
@@ -44,20 +43,6 @@ def penalties(text: str) -> np.ndarray:
     return out
 
 
-def candidates(price: np.ndarray, limit: int) -> np.ndarray:
-    """The token offsets that may be cuts, in order; price is infinite where no cut can be."""
-    use = price <= SENTENCE
-    use[0] = use[-1] = True
-    for cost in (CLAUSE, WORD, NONE):
-        at = np.flatnonzero(use)
-        wide = np.diff(at) * FINER > limit
-        inside = np.zeros(len(price) + 1, np.int32)
-        np.add.at(inside, at[:-1][wide], 1)
-        np.add.at(inside, at[1:][wide], -1)
-        use |= (np.cumsum(inside)[:-1] > 0) & (price <= cost)
-    return np.flatnonzero(use)
-
-
 def cuts(cost: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Token spans (start, end) of the pieces; ends[t] is the character offset of token offset t or -1."""
     n = len(ends) - 1
@@ -65,25 +50,26 @@ def cuts(cost: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[t
         return [(0, n)]
     price = np.where(ends >= 0, cost[np.maximum(ends, 0)], np.inf)
     price[n] = 0
-    at = candidates(price, limit - overlap)
+    at = np.flatnonzero(np.isfinite(price))
     # where the piece after a cut starts: overlap tokens before it, or the nearest character start below
     whole = np.flatnonzero(ends >= 0)
     start = whole[np.searchsorted(whole, np.maximum(at - overlap, 0), "right") - 1]
     pieces = int(np.ceil((n - overlap) / (limit - overlap)))
     mean = (n + (pieces - 1) * overlap) / pieces
+    size, price = (start + mean) / mean, price[at]
     best = np.full(len(at), np.inf)
     best[0] = 0
     prev = np.full(len(at), -1)
-    first = 0
+    firsts = np.searchsorted(start, at - limit)  # the first cut whose piece up to here keeps the limit
     for k in range(1, len(at)):
-        t = int(at[k])
-        while t - start[first] > limit:
-            first += 1
-        total = best[first:k] + IMBALANCE * ((t - start[first:k] - mean) / mean) ** 2
-        if len(total):
-            j = int(np.argmin(total))
-            best[k] = total[j] + price[t]
-            prev[k] = first + j
+        first = firsts[k]
+        if first >= k:
+            continue
+        off = at[k] / mean - size[first:k]
+        total = best[first:k] + IMBALANCE * off * off
+        j = int(np.argmin(total))
+        best[k] = total[j] + price[k]
+        prev[k] = first + j
     if not np.isfinite(best[-1]):
         raise ValueError("the limit is smaller than one character and the overlap")
     out, k = [], len(at) - 1
@@ -105,12 +91,13 @@ def split(text: str, limit: int, overlap: int, ranks: str = tokens.RANKS) -> lis
         return [(0, len(text), len(ends) - 1)]
     cost = penalties(text)
     most = limit
-    while True:
+    while most > overlap:
         spans = [(int(ends[a]), int(ends[b])) for a, b in cuts(cost, ends, most, overlap)]
         sizes = [tokens.count(text[a:b], ranks) for a, b in spans]
-        if max(sizes) <= limit or most <= overlap + 4:
+        if max(sizes) <= limit:
             return [(a, b, n) for (a, b), n in zip(spans, sizes)]
         most -= max(sizes) - limit
+    raise ValueError("no cuts keep all pieces within the limit")
 
 
 def _split(limit: int, overlap: int, ranks: str):
