@@ -7,9 +7,13 @@ are kept in order of their residual space and carry bitmaps of the sources and d
 their items. The search starts at the smallest residual that holds the item and goes on to the next
 until it finds a compatible bin, which is therefore the tightest; if there is none, a bin is opened.
 
-Two items of one duplicate cluster never share a bin. Two items of one source don't either, unless the
-source holds more of the shard than one item in every fourth bin (a hot source), when keeping it
-apart would waste space by force. Null texts and texts without tokens take no space and get no row.
+Two items of one duplicate cluster never share a bin. Two items of one source don't either, as far as space
+allows: a source that has more items in the shard than the least number of bins may put as many into a bin as
+an even spread needs. If that leaves more than WASTE of the space unused, the shard is packed again with
+twice, four times ... as many items a bin for the sources with more items than a fourth of those bins, until the
+waste is within bounds or no bound on them is left; each item reports its source_mates.
+Clusters are texts of one folded form, or those of a given table of groups (that of the near-duplicate
+operator, say). Null texts and texts without tokens take no space and get no row.
 """
 
 from __future__ import annotations
@@ -28,22 +32,39 @@ from .splitting import split
 from .textform import fold_codes
 
 SHARD_ITEMS = 8000
+#: Unused share of the space above which sources are kept less strictly apart.
+WASTE = 0.03
 
 
 def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """The bin number of each item; sources and clusters may be None for items without one."""
+    least = max(1, -(-sum(sizes) // capacity))
+    held = pd.Series(sources, dtype=object).value_counts()
+    best, times = None, 1
+    while True:
+        room = {s: -(-int(c) // least) * (times if c > least / 4 else 1) for s, c in held.items()}
+        bins = _pack(sizes, sources, clusters, capacity, room)
+        used = max(bins, default=-1) + 1
+        if best is None or used < best[0]:
+            best = (used, bins)
+        free = all(room[s] >= c for s, c in held.items() if c > least / 4)
+        if used <= least / (1 - WASTE) + 1 or free:
+            return best[1]
+        times *= 2
+
+
+def _pack(sizes: list[int], sources: list, clusters: list, capacity: int, room: dict) -> list[int]:
+    """Best fit with at most room[s] items of source s in a bin."""
     n = len(sizes)
-    per_bin = max(1.0, capacity * n / max(1, sum(sizes)))
-    share = pd.Series(sources, dtype=object).value_counts()
-    hot = set(share[share > n / per_bin / 4].index)
-    bit = {s: 1 << k for k, s in enumerate(x for x in share.index if x not in hot)}
+    bit = {s: 1 << k for k, s in enumerate(room)}
     copies = pd.Series(clusters, dtype=object).value_counts()
     twin = {c: 1 << k for k, c in enumerate(copies[copies > 1].index)}
     order = sorted(range(n), key=lambda i: (-sizes[i], i))
     at: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
     some = 0  # bit r is set if there is a bin of residual r
-    of_source: list[int] = []
+    of_source: list[int] = []  # sources that a bin takes no more of
     of_cluster: list[int] = []
+    taken: dict[tuple[int, int], int] = {}  # items of a source in a bin, where it takes several
     out = [0] * n
     for i in order:
         size, s, c = sizes[i], bit.get(sources[i], 0), twin.get(clusters[i], 0)
@@ -65,12 +86,17 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
             if not at[r]:
                 some &= ~(1 << r)
             left = r - size
-            of_source[b] |= s
-            of_cluster[b] |= c
         else:
             b, left = len(of_source), capacity - size
-            of_source.append(s)
-            of_cluster.append(c)
+            of_source.append(0)
+            of_cluster.append(0)
+        if s:
+            most = room[sources[i]]
+            if most > 1:
+                taken[b, s] = taken.get((b, s), 0) + 1
+            if most == 1 or taken[b, s] >= most:
+                of_source[b] |= s
+        of_cluster[b] |= c
         at[left].append(b)
         some |= 1 << left
         out[i] = b
@@ -95,22 +121,30 @@ def _items(capacity: int, ranks: str):
     return run
 
 
-def fill_containers(df: DataFrame, key: str, text: str, source: str, capacity: int, ranks: str = tokens.RANKS, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(doc, piece_no, start_pos, end_pos, n_tokens, container_id) for every item.
+def fill_containers(
+    df: DataFrame, key: str, text: str, source: str, capacity: int, ranks: str = tokens.RANKS, shard_items: int = SHARD_ITEMS, groups: DataFrame | None = None
+) -> DataFrame:
+    """(doc, piece_no, start_pos, end_pos, n_tokens, source_mates, container_id) for every item.
 
-    container_id is "<shard>-<bin>". Items are the same at every size; the number of shards follows
-    the number of items.
+    container_id is "<shard>-<bin>"; source_mates counts the other items of the container from the same source.
+    Items are the same at every size; the number of shards follows the number of items. groups: (doc, group_id),
+    one row per document, replaces the clusters of equal folded texts.
     """
     rows = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"))
     rows = rows.where("doc is not null and t is not null and t <> ''")
-    items = cut(rows.mapInArrow(_items(capacity, ranks), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, source string, cluster long"))
+    items = rows.mapInArrow(_items(capacity, ranks), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, source string, cluster long")
+    if groups is not None:
+        items = items.join(groups.select("doc", "group_id"), "doc", "left")
+        items = items.withColumn("cluster", F.when(F.col("group_id").isNotNull(), F.xxhash64("group_id", "piece_no")).otherwise(F.col("cluster"))).drop("group_id")
+    items = cut(items)
     shards = max(1, -(-items.count() // shard_items))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "piece_no"], ignore_index=True)
-        bins = pack(pdf.n_tokens.tolist(), pdf.source.tolist(), pdf.cluster.tolist(), capacity)
-        pdf["container_id"] = [f"{pdf.shard[0]}-{b}" for b in bins]
-        return pdf[["doc", "piece_no", "start_pos", "end_pos", "n_tokens", "container_id"]]
+        pdf["bin"] = pack(pdf.n_tokens.tolist(), pdf.source.tolist(), pdf.cluster.tolist(), capacity)
+        pdf["source_mates"] = (pdf.groupby(["bin", "source"]).doc.transform("size") - 1).fillna(0).astype("int64")
+        pdf["container_id"] = [f"{pdf.shard[0]}-{b}" for b in pdf.bin]
+        return pdf[["doc", "piece_no", "start_pos", "end_pos", "n_tokens", "source_mates", "container_id"]]
 
     sharded = items.withColumn("shard", F.pmod(F.xxhash64("doc", "piece_no"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(place, "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, container_id string")
+    return sharded.groupBy("shard").applyInPandas(place, "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, source_mates long, container_id string")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from rankloom.llm import leakage, packing, splitting, tokens
@@ -77,6 +78,33 @@ def test_cuts_fall_on_sentences():
         assert text[:end].rstrip()[-1] in ".\n"
 
 
+def test_cuts_are_the_best_of_all():
+    text = "Ab c, de. Fg hi; jk"
+    ends, cost = tokens.char_ends(text), splitting.penalties(text)
+    n, limit, overlap = len(ends) - 1, 6, 1
+    assert 8 <= n <= 16
+
+    def price(at):
+        total, pieces = 0.0, int(np.ceil((n - overlap) / (limit - overlap)))
+        mean, last = (n + (pieces - 1) * overlap) / pieces, 0
+        for t in (*at, n):
+            if t - last > limit or t - last <= 0:
+                return np.inf
+            total += splitting.IMBALANCE * ((t - last - mean) / mean) ** 2 + (cost[ends[t]] if t < n else 0)
+            last = t - overlap
+        return total
+
+    best = min(price([t for t in range(1, n) if bits >> t & 1]) for bits in range(0, 1 << n, 2))
+    got = splitting.cuts(cost, ends, limit, overlap)
+    assert abs(price([b for _, b in got[:-1]]) - best) < 1e-9
+
+
+def test_pieces_never_exceed_the_limit(monkeypatch):
+    monkeypatch.setattr(splitting.tokens, "count", lambda text, ranks=None: 400)
+    with pytest.raises(ValueError):
+        splitting.split(TEXTS["prose"], 300, 32)
+
+
 def test_split_table(spark):
     rows = [(1, TEXTS["prose"]), (2, "short"), (3, None), (4, ""), (None, TEXTS["prose"])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -107,6 +135,37 @@ def test_packing_is_tight_and_free_of_conflicts():
     assert used <= 1.03 * sum(sizes) / 2048 + 1
 
 
+def mates(sources, bins):
+    held = {}
+    for s, b in zip(sources, bins):
+        if s is not None:
+            held[s, b] = held.get((s, b), 0) + 1
+    return held
+
+
+def test_sources_are_kept_apart():
+    rng = random.Random(6)
+    sizes = [rng.randrange(50, 700) for _ in range(2000)]
+    even = [f"s{rng.randrange(40)}" for _ in sizes]
+    bins = packing.pack(sizes, even, [None] * 2000, 2048)
+    assert max(mates(even, bins).values()) == 1
+    third = [f"s{rng.randrange(60)}" if rng.random() < 0.66 else "hot" for _ in sizes]
+    bins = packing.pack(sizes, third, [None] * 2000, 2048)
+    least = -(-sum(sizes) // 2048)
+    held = mates(third, bins)
+    assert third.count("hot") > least and max(n for (s, _), n in held.items() if s != "hot") == 1
+    assert max(held.values()) <= 4 * -(-third.count("hot") // least)
+    assert len(set(bins)) <= least / (1 - packing.WASTE) + 1
+
+
+def test_given_groups_are_clusters(spark):
+    df = spark.createDataFrame([(i, f"text number {i}", None) for i in range(6)], "doc_id bigint, text string, source string")
+    groups = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3)], "doc bigint, group_id bigint")
+    got = {r.doc: r for r in packing.fill_containers(df, "doc_id", "text", "source", 300, groups=groups).collect()}
+    assert len({got[i].container_id for i in (0, 1, 2)}) == 3 and len({r.container_id for r in got.values()}) == 3
+    assert all(r.source_mates == 0 for r in got.values())
+
+
 def test_packing_of_one_cluster_takes_a_bin_each():
     bins = packing.pack([10] * 50, [None] * 50, ["c"] * 50, 100)
     assert len(set(bins)) == 50
