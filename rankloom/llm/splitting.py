@@ -43,20 +43,9 @@ def penalties(text: str) -> np.ndarray:
     return out
 
 
-def cuts(cost: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token spans (start, end) of the pieces; ends[t] is the character offset of token offset t or -1."""
-    n = len(ends) - 1
-    if n <= limit:
-        return [(0, n)]
-    price = np.where(ends >= 0, cost[np.maximum(ends, 0)], np.inf)
-    price[n] = 0
-    at = np.flatnonzero(np.isfinite(price))
-    # where the piece after a cut starts: overlap tokens before it, or the nearest character start below
-    whole = np.flatnonzero(ends >= 0)
-    start = whole[np.searchsorted(whole, np.maximum(at - overlap, 0), "right") - 1]
-    pieces = int(np.ceil((n - overlap) / (limit - overlap)))
-    mean = (n + (pieces - 1) * overlap) / pieces
-    size, price = (start + mean) / mean, price[at]
+def _program(at: np.ndarray, start: np.ndarray, price: np.ndarray, mean: float, limit: int) -> tuple[float, list[int]]:
+    """The least total over cuts at the offsets at, and the indexes of these cuts; infinite if no cuts keep the limit."""
+    size = (start + mean) / mean
     best = np.full(len(at), np.inf)
     best[0] = 0
     prev = np.full(len(at), -1)
@@ -70,14 +59,35 @@ def cuts(cost: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[t
         j = int(np.argmin(total))
         best[k] = total[j] + price[k]
         prev[k] = first + j
-    if not np.isfinite(best[-1]):
-        raise ValueError("the limit is smaller than one character and the overlap")
-    out, k = [], len(at) - 1
-    while k > 0:
-        p = int(prev[k])
-        out.append((int(start[p]), int(at[k])))
-        k = p
-    return out[::-1]
+    path, k = [], len(at) - 1
+    while k > 0 and np.isfinite(best[-1]):
+        path.append(k)
+        k = int(prev[k])
+    return float(best[-1]), path[::-1]
+
+
+def cuts(cost: np.ndarray, ends: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Token spans (start, end) of the pieces; ends[t] is the character offset of token offset t or -1.
+
+    Boundaries are admitted kind by kind. A total that is no larger than the penalty of the next kind
+    can't be bettered by any cut of that kind or a worse one, so the rest needn't be looked at.
+    """
+    n = len(ends) - 1
+    if n <= limit:
+        return [(0, n)]
+    price = np.where(ends >= 0, cost[np.maximum(ends, 0)], np.inf)
+    price[0] = price[n] = 0
+    whole = np.flatnonzero(ends >= 0)
+    pieces = int(np.ceil((n - overlap) / (limit - overlap)))
+    mean = (n + (pieces - 1) * overlap) / pieces
+    for kind, worse in ((SENTENCE, CLAUSE), (CLAUSE, WORD), (WORD, NONE), (NONE, np.inf)):
+        at = np.flatnonzero(price <= kind)
+        # where the piece after a cut starts: overlap tokens before it, or the nearest character start below
+        start = whole[np.searchsorted(whole, np.maximum(at - overlap, 0), "right") - 1]
+        total, path = _program(at, start, price[at], mean, limit)
+        if np.isfinite(total) and total <= worse:
+            return [(int(start[j]), int(at[k])) for j, k in zip([0, *path], path)]
+    raise ValueError("the limit is smaller than one character and the overlap")
 
 
 def split(text: str, limit: int, overlap: int, ranks: str = tokens.RANKS) -> list[tuple[int, int, int]]:
