@@ -26,15 +26,19 @@ from .textform import multi_map, single_map, skeleton_map
 LAST_LATIN_LIGATURE = "\ufb06"
 
 
+def _replaced(text: Column, table: dict[str, str]) -> Column:
+    """One translate, plus a replace per ligature or numeral in the few texts that have one."""
+    order = [a for a, b in table.items() if b] + [a for a, b in table.items() if not b]
+    out = whole = F.translate(text, "".join(order), "".join(table[a] for a in order))
+    several = {a: b for a, b in multi_map().items() if a <= LAST_LATIN_LIGATURE}
+    for a, b in several.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(text.rlike(f"[{''.join(several)}]"), out).otherwise(whole)
+
+
 def mapped(text: Column) -> Column:
-    """Look-alike-mapped value as one translate plus a replace per ligature; case and accents stay."""
-    single = single_map()
-    order = [a for a, b in single.items() if b] + [a for a, b in single.items() if not b]
-    out = F.translate(text, "".join(order), "".join(single[a] for a in order))
-    for a, b in multi_map().items():
-        if a <= LAST_LATIN_LIGATURE:
-            out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Look-alike-mapped value; case and accents stay."""
+    return _replaced(text, single_map())
 
 
 def block(text: Column) -> Column:
@@ -42,13 +46,7 @@ def block(text: Column) -> Column:
 
     It keeps rows apart that cannot look the same, so that only the few others are collated.
     """
-    table = skeleton_map()
-    order = [a for a, b in table.items() if b] + [a for a, b in table.items() if not b]
-    out = F.translate(text, "".join(order), "".join(table[a] for a in order))
-    for a, b in multi_map().items():
-        if a <= LAST_LATIN_LIGATURE:
-            out = F.replace(out, F.lit(a), F.lit(b))
-    return F.xxhash64(out)
+    return F.xxhash64(_replaced(text, skeleton_map()))
 
 
 def keyed(df: DataFrame, tab: str, key: str, text: str) -> DataFrame:
