@@ -19,8 +19,10 @@ from ..session import cut
 L2 = 0.01
 Z95 = 1.96
 SIGNIFICANT = 0.05
-MAX_STEPS = 25
+MAX_STEPS = 60
 STEP_TOLERANCE = 1e-9
+#: Models fitted at once; their sums and coefficients are held by the driver.
+MAX_MODELS = 20_000
 FEATURES = ["diff_source_similarity", "diff_entailment", "diff_clause_depth", "diff_log_perplexity"]
 
 
@@ -80,36 +82,85 @@ def fit_logistic(obs: DataFrame, features: list[str] = FEATURES, l2: float = L2)
 
     The penalised loss is strictly convex, so this is the point that long gradient descent approaches.
     Each step is one pass of partial sums over obs, however a model's rows are spread; cut() it first if
-    it is costly to compute.
+    it is costly to compute. The driver holds one row of sums and coefficients per model, of at most
+    MAX_MODELS (checked); they go back as a broadcast table. Raises if MAX_STEPS steps don't settle.
     """
-    k = len(features) + 1
+    spark, k = obs.sparkSession, len(features) + 1
     x = _design(obs, features)
-    beta = x.select("model").distinct().withColumn("beta", F.array(*[F.lit(0.0)] * k))
-    for _ in range(MAX_STEPS):
-        rows = x.join(beta, "model").withColumn("p", sigmoid(_linear(k)))
-        grads = [F.sum((F.col("p") - F.col("label")) * F.col(f"x{i}")).alias(f"d_{i}") for i in range(k)]
-        w = F.col("p") * (1 - F.col("p"))
-        hess = [F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g_{i}_{j}") for i, j in combinations_with_replacement(range(k), 2)]
-        sums = rows.groupBy("model").agg(F.count("*").alias("n"), *grads, *hess).join(beta, "model")
-
-        def step(batches):
-            for pdf in batches:
-                new, size = [], []
-                for _, r in pdf.iterrows():
-                    b = np.array(r["beta"], float)
-                    ridge = l2 * np.r_[0.0, np.ones(k - 1)]
-                    g = np.array([r[f"d_{i}"] for i in range(k)]) / r["n"] + ridge * b
-                    d = np.linalg.pinv(_symmetric(r, "g", k) / r["n"] + np.diag(ridge)) @ g
-                    new.append(b - d)
-                    size.append(float(np.abs(d).max()))
-                yield pd.DataFrame({"model": pdf["model"], "beta": new, "moved": size})
-
-        done = cut(sums.mapInPandas(step, "model string, beta array<double>, moved double"))
-        beta = done.select("model", "beta")
-        most = done.agg(F.max("moved")).first()[0]
-        if most is None or most < STEP_TOLERANCE:
+    names = [r.model for r in x.select("model").distinct().limit(MAX_MODELS + 1).collect()]
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    schema = "model string, beta array<double>"
+    beta = {m: np.zeros(k) for m in names}
+    grads = [F.sum((F.col("p") - F.col("label")) * F.col(f"x{i}")).alias(f"d_{i}") for i in range(k)]
+    w = F.col("p") * (1 - F.col("p"))
+    hess = [F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g_{i}_{j}") for i, j in combinations_with_replacement(range(k), 2)]
+    ridge = l2 * np.r_[0.0, np.ones(k - 1)]
+    for _ in range(MAX_STEPS if names else 0):
+        held = spark.createDataFrame([(m, b.tolist()) for m, b in beta.items()], schema)
+        sums = x.join(F.broadcast(held), "model").withColumn("p", sigmoid(_linear(k))).groupBy("model").agg(F.count("*").alias("n"), *grads, *hess)
+        most = 0.0
+        for r in sums.collect():  # one row per model
+            g = np.array([r[f"d_{i}"] for i in range(k)]) / r["n"] + ridge * beta[r.model]
+            step = np.linalg.pinv(_symmetric(r, "g", k) / r["n"] + np.diag(ridge)) @ g
+            beta[r.model] = beta[r.model] - step
+            most = max(most, float(np.abs(step).max()))
+        if most < STEP_TOLERANCE:
             break
-    return beta
+    else:
+        if names:
+            raise RuntimeError(f"the fit has not settled after {MAX_STEPS} steps: the last step was {most}")
+    return spark.createDataFrame([(m, b.tolist()) for m, b in beta.items()], schema)
+
+
+def given_coefficients(obs: DataFrame, table: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """(model, beta) looked up by (model, feature) in a table (model, feature, standardized_coefficient, intercept).
+
+    Rows with a blank feature are left out. Every model of obs needs every feature; a missing one raises.
+    """
+    rows = table.where(F.trim("feature") != "").select("model", "feature", F.col("standardized_coefficient").cast("double").alias("c"), F.col("intercept").cast("double").alias("b0"))
+    wide = rows.groupBy("model").agg(F.max("b0").alias("b0"), *[F.max(F.when(F.col("feature") == f, F.col("c"))).alias(f"c{i}") for i, f in enumerate(features)])
+    need = obs.select("model").distinct().join(wide, "model", "left")
+    known = lambda c, f: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"no coefficient of {f} for "), F.col("model"))).cast("double"))
+    return need.select("model", F.array(known("b0", "intercept"), *[known(f"c{i}", f) for i, f in enumerate(features)]).alias("beta"))
+
+
+def replaced_features(features: list[str], composite: str, parts: list[str]) -> list[str]:
+    """The feature list with the composite score swapped for its parts, which come last."""
+    if composite not in features:
+        raise ValueError(f"no feature {composite}")
+    return [f for f in features if f != composite] + list(parts)
+
+
+def feature_differences(ranks: DataFrame, features: DataFrame, names: list[str], digits: int | None = 6) -> DataFrame:
+    """(model, sample_id, candidate_a, candidate_b, label, diff_<name>): one row per ranking and candidate pair.
+
+    ranks: (judge, sample_id, A..F); features: (sample_id, letter, names). label is 1 if candidate_a ranks
+    before candidate_b, ties go to candidate_b. A ranking of a sample whose candidates lack features raises;
+    a null feature gives null differences. digits None leaves the differences unrounded.
+    """
+    from .judging import pair_judgements
+
+    pairs = pair_judgements(ranks).select(F.col("judge").alias("model"), "sample_id", "candidate_a", "candidate_b", (F.col("winner") == F.col("candidate_a")).cast("double").alias("label"))
+    folded = features.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("letter", F.struct(*[F.col(n).cast("double").alias(n) for n in names])))).alias("by_letter"))
+    rows = pairs.join(folded, "sample_id", "left")
+    kind = "struct<" + ", ".join(f"`{n}`: double" for n in names) + ">"
+    of = lambda side: F.coalesce(F.col("by_letter")[F.col(side)], F.raise_error(F.concat(F.lit("missing features of sample "), F.col("sample_id").cast("string"))).cast(kind))
+    rows = rows.withColumn("fa", of("candidate_a")).withColumn("fb", of("candidate_b"))
+    diff = lambda n: F.col(f"fa.{n}") - F.col(f"fb.{n}")
+    return rows.select("model", "sample_id", "candidate_a", "candidate_b", "label", *[(diff(n) if digits is None else F.round(diff(n), digits)).alias(f"diff_{n}") for n in names])
+
+
+def pairwise_logistic(obs: DataFrame, features: list[str] = FEATURES, l2: float = L2) -> DataFrame:
+    """(model, feature, standardized_coefficient, intercept, training_accuracy): the fit without cluster errors."""
+    k = len(features) + 1
+    beta = fit_logistic(obs, features, l2)
+    rows = _design(obs, features).join(F.broadcast(beta), "model").withColumn("p", sigmoid(_linear(k)))
+    right = rows.groupBy("model").agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("a"))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.get("beta", F.lit(i + 1)).alias("c")) for i, f in enumerate(features)])).alias("x")
+    return right.join(F.broadcast(beta), "model").select("model", F.round(F.get("beta", F.lit(0)), 6).alias("intercept"), F.round("a", 6).alias("training_accuracy"), cells).select(
+        "model", "x.feature", F.round("x.c", 6).alias("standardized_coefficient"), "intercept", "training_accuracy"
+    )
 
 
 def cluster_robust(obs: DataFrame, beta: DataFrame, features: list[str] = FEATURES, l2: float = L2) -> DataFrame:
@@ -147,7 +198,7 @@ def cluster_robust(obs: DataFrame, beta: DataFrame, features: list[str] = FEATUR
                     out.append((r["model"], name, float(c), float(s), z, p, c - Z95 * s, c + Z95 * s, p is not None and p < SIGNIFICANT, r["accuracy"], n, g))
             yield pd.DataFrame(out, columns=["model", "feature", "coefficient", "se", "z", "p", "ci_low", "ci_high", "significant", "accuracy", "n_observations", "n_clusters"])
 
-    table = bread.join(meat, "model").join(beta, "model").mapInPandas(
+    table = bread.join(meat, "model").join(beta, "model").mapInPandas(  # one row per model
         solve, "model string, feature string, coefficient double, se double, z double, p double, ci_low double, ci_high double, significant boolean, accuracy double, n_observations bigint, n_clusters bigint"
     )
     return table.select("model", "feature", *[F.round(c, 6).alias(c) for c in ("coefficient", "se", "z", "p", "ci_low", "ci_high")], "significant", F.round("accuracy", 6).alias("accuracy"), "n_observations", "n_clusters")

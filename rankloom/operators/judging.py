@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .records import strict_lookup
+
 LETTERS = "ABCDEF"
 PAIRS = list(combinations(LETTERS, 2))
 
@@ -80,11 +82,14 @@ def _order(prefix: str = "") -> Column:
     return F.array_join(F.transform(F.array_sort(F.array(*[F.struct(F.col(x).alias("s"), F.lit(x).alias("x")) for x in LETTERS])), lambda e: e["x"]), ">")
 
 
-def judge_vs_consensus(wide: DataFrame) -> DataFrame:
-    """(judge, top1_match, exact_match, pair_match, n_samples): how close a judge is to the consensus."""
-    cons = consensus(wide).select("sample_id", "consensus_order", "top1")
+def judge_vs_consensus(wide: DataFrame, cons: DataFrame | None = None) -> DataFrame:
+    """(judge, top1_match, exact_match, pair_match, n_samples): how close a judge is to the consensus.
+
+    The consensus is that of the same rankings unless another is given; a sample that it lacks stops the query.
+    """
+    cons = (consensus(wide) if cons is None else cons).select("sample_id", "consensus_order", "top1")
     place = {x: F.instr("consensus_order", x) for x in LETTERS}
-    rows = wide.withColumn("own", _order()).join(cons, "sample_id")
+    rows = strict_lookup(wide.withColumn("own", _order()), cons, "sample_id")
     same = [((F.col(a) < F.col(b)) == (place[a] < place[b])).cast("int") for a, b in PAIRS]
     return rows.groupBy("judge").agg(
         F.round(F.avg((F.substring("own", 1, 1) == F.col("top1")).cast("int")), 6).alias("top1_match"),
@@ -129,6 +134,11 @@ def condorcet(wide: DataFrame) -> DataFrame:
     return pair_majorities(wide).select("sample_id", won.alias("winner"))
 
 
+def contested(wide: DataFrame, least: float) -> DataFrame:
+    """The samples whose disagreement is at least so high."""
+    return disagreement(wide).where(F.col("disagreement") >= least)
+
+
 def disagreement(wide: DataFrame) -> DataFrame:
     """(sample_id, n_judges, disagreement): mean share of judges in the minority over the candidate pairs."""
     part = [F.least(F.col(a + b), F.col("n") - F.col(a + b)) / F.col("n") for a, b in PAIRS]

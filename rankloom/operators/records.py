@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,7 +62,7 @@ ARTIFACT_RULES = [
     ("condorcet", "consensus ranking"),
     ("high_disagreement", "model disagreement"),
     ("minority_model", "model disagreement"),
-    ("local_embedding", "semantic similarity"),
+    ("local_embedding", "LaBSE semantic similarity"),
     ("crosslingual_nli", "cross-lingual NLI"),
     ("target_lm", "target-language LM"),
     ("syntax_info", "dependency syntax"),
@@ -108,9 +107,50 @@ def strict_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return out.withColumn("_hit", checked).where("_hit").drop("_hit")
 
 
-def first_source(df: DataFrame, *maps: Column) -> Column:
-    """The key whose value is wanted in the first of several maps that has one; null if none does."""
-    return F.coalesce(*maps)
+def first_source(*sources: Column) -> Column:
+    """The first source that has a value; a row that none of them resolves stops the query."""
+    return F.coalesce(*sources, F.raise_error(F.lit("no source resolves this row")).cast("string"))
+
+
+# Names of the field that holds the source text, in order of precedence; fields that are never text.
+SOURCE_FIELDS = ["source_text", "source", "input", "original_text", "text"]
+META_FIELDS = ["id", "direction", "source_lang", "target_lang"]
+# Names of fields that hold candidates.
+CANDIDATE_NAME = r"(?i)^candidate[_-]?[A-Za-z0-9]+$|translation|variant|译文|候选"
+LONG_FIELD = 40
+
+
+def strings_of(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def source_field(df: DataFrame) -> Column:
+    """The name of the row's source field: the first preferred one that isn't blank, else the longest string field, else empty."""
+    names = strings_of(df)
+    preferred = [F.when(F.trim(F.col(n)) != "", n) for n in SOURCE_FIELDS if n in names]
+    longest = F.array_max(F.array(*[F.struct(F.coalesce(F.length(n), F.lit(-1)).alias("size"), (-F.lit(i)).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(names)])) if names else None
+    return F.coalesce(*preferred, *([F.when(longest["size"] >= 0, longest["name"])] if names else []), F.lit(""))
+
+
+def natural_key(name: str) -> list:
+    """Sorts digits inside names by value, case ignored."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in regex.split(r"(\d+)", name.casefold()) if x]
+
+
+def candidate_fields(df: DataFrame, source: str) -> list[str]:
+    """String columns that hold candidates, in natural order: by name, else those of more than LONG_FIELD characters in some row."""
+    names = [n for n in strings_of(df) if n != source]
+    named = [n for n in names if regex.search(CANDIDATE_NAME, n)]
+    if not named:
+        rest = [n for n in names if n not in META_FIELDS]
+        size = df.agg(*[F.max(F.length(n)).alias(n) for n in rest]).first() if rest else {}
+        named = [n for n in rest if (size[n] or 0) > LONG_FIELD]
+    return sorted(named, key=natural_key)
+
+
+def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
+    """Columns of the left table that the right one has too, in the left one's order."""
+    return [c for c in left.columns if c in set(right.columns)]
 
 
 def key_of(m: Column, value: Column) -> Column:
@@ -119,34 +159,58 @@ def key_of(m: Column, value: Column) -> Column:
 
 
 _ANCHOR = regex.compile(r'"id"\s*:\s*"([A-F])"')
-_TEXT = regex.compile(r'"translation"\s*:\s*"')
-VARIANTS = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("translation", T.StringType())]))
+_FIELD = {name: regex.compile(rf'"{name}"\s*:\s*"') for name in ("feature_target", "translation")}
+VARIANTS = "array<struct<id:string,feature_target:string,translation:string>>"
 
 
-def parse_variants(reply: str | None) -> list[tuple[str, str]] | None:
-    """The six variants of a model's reply, even if quotes inside the texts aren't escaped; null unless all six are there.
+def _after(part: str, name: str, close: int) -> str | None:
+    """The text of a field whose quotes may not be escaped: up to the last quote before the next field or the brace."""
+    start = _FIELD[name].search(part)
+    if not start:
+        return None
+    later = [m.start() for other, p in _FIELD.items() if other != name and (m := p.search(part, start.end()))]
+    end = part.rfind('"', start.end(), part.rfind(",", start.end(), min(later)) if later else close)
+    return part[start.end() : end].replace('\\"', '"').replace("\\n", "\n") if end >= start.end() else None
 
-    Well-formed JSON is taken as it is. Otherwise each text runs from its opening quote to the last
-    quote before the record's closing brace.
-    """
+
+def salvaged_variants(reply: str | None) -> list[dict[str, str | None]] | None:
+    """The six variants of a reply whose JSON is broken by quotes inside the texts; null unless all six are there with a text."""
     if not reply:
         return None
     body = regex.sub(r"^\s*```(?:json)?|```\s*$", "", reply.strip()).strip()
-    got: dict[str, str] = {}
-    try:
-        data = json.loads(body)
-        items = data.get("variants", data) if isinstance(data, dict) else data
-        got = {str(v["id"]): str(v["translation"]) for v in items}
-    except (ValueError, KeyError, TypeError):
-        marks = list(_ANCHOR.finditer(body))
-        for m, end in zip(marks, [*[m.start() for m in marks[1:]], len(body)]):
-            part = body[m.end() : end]
-            start = _TEXT.search(part)
-            brace = part.rfind("}")
-            close = part.rfind('"', 0, brace if brace >= 0 else len(part))
-            if start and close >= start.end():
-                got[m[1]] = part[start.end() : close].replace('\\"', '"').replace("\\n", "\n")
-    return sorted(got.items()) if sorted(got) == LETTERS else None
-
-
-parse_variants_udf = F.udf(lambda reply: parse_variants(reply), VARIANTS)
+    got: dict[str, dict[str, str | None]] = {}
+    marks = list(_ANCHOR.finditer(body))
+    for m, end in zip(marks, [*[m.start() for m in marks[1:]], len(body)]):
+        part = body[m.end() : end]
+        brace = part.rfind("}")
+        brace = brace if brace >= 0 else len(part)
+        text = _after(part, "translation", brace)
+        if text is not None:
+            got[m[1]] = {"id": m[1], "feature_target": _after(part, "feature_target", brace), "translation": text}
+    return [got[x] for x in LETTERS] if sorted(got) == LETTERS else None
+
+
+def parse_variants(reply: str | None) -> list[tuple[str, str]] | None:
+    """(id, translation) of salvaged_variants."""
+    got = salvaged_variants(reply)
+    return [(v["id"], v["translation"]) for v in got] if got else None
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("id", "feature_target", "translation")])))
+def _salvaged(reply: pd.Series) -> pd.Series:
+    return reply.map(salvaged_variants)
+
+
+def variants_of_replies(df: DataFrame, reply: str) -> DataFrame:
+    """df with a column parsed: the six variants A to F of each reply, in order, or null.
+
+    Well-formed JSON, fenced or not, an array or an object with variants, is parsed in the JVM; only the
+    replies left over go through Python, in Arrow batches.
+    """
+    body = F.trim(F.regexp_replace(F.trim(reply), r"^```(?:json)?|```$", ""))
+    parsed = F.coalesce(F.from_json(body, f"variants {VARIANTS}")["variants"], F.from_json(body, VARIANTS))
+    ids = F.array_sort(F.transform(parsed, lambda v: v["id"]))
+    whole = (ids == F.array(*[F.lit(x) for x in LETTERS])) & ~F.exists(parsed, lambda v: v["translation"].isNull())
+    rows = df.withColumn("parsed", F.when(whole, F.array_sort(parsed)))
+    rest = rows.where("parsed is null").withColumn("parsed", _salvaged(reply))
+    return rows.where("parsed is not null").union(rest)

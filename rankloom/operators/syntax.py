@@ -1,7 +1,7 @@
 """Dependency-tree measures over parsed tokens, given as arrays of structs per sentence.
 
 A sentence is array<struct<id int, head int, deprel string, upos string, text string>>, head 0 for a
-root. The parser is not part of this package; parsed tokens are the input.
+root; the whole vectors take an array of sentences, whose tokens may also have feats. The parser is not part of this package; parsed tokens are the input.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Relations and tags of the syntax measures.
 ZH_CLAUSE = ["root", "ccomp", "xcomp", "acl", "advcl", "parataxis", "conj"]
-EN_CLAUSE = [*ZH_CLAUSE, "relcl"]
+EN_CLAUSE = ["root", "ccomp", "xcomp", "acl", "advcl", "parataxis", "conj", "relcl"]
 ZH_MODIFIER = ["amod", "advmod", "nmod", "acl", "det", "clf", "mark", "case"]
 EN_MODIFIER = ["amod", "advmod", "nmod", "acl", "compound", "det", "case", "obl", "appos"]
 ZH_SUFFIX = "(性|化|度|率|者|方|额|量|值|力)$"
@@ -100,3 +100,49 @@ def features_zh(tokens: Column, n_sentences: Column, text: Column) -> dict[str,
         "token_count": n.cast("double"),
         "avg_sentence_length": F.round(n / F.greatest(n_sentences, F.lit(1)), 6),
     }
+
+
+def passive(t: Column, feats: bool) -> Column:
+    """Whether the token's relation, or its Voice feature, is passive."""
+    by_relation = F.lower(t["deprel"]).contains("pass")
+    return by_relation | F.coalesce(F.lower(t["feats"]).contains("voice=pass"), F.lit(False)) if feats else by_relation
+
+
+def _whole(sentences: Column, base: dict[str, Column], ratio: Column, passive_name: str) -> dict[str, Column]:
+    """The thirteen measures in their order, from those of the tags and those of the trees."""
+    tokens, count = F.flatten(sentences), F.size(sentences)
+    distance = distance_stats(tokens, count)
+    depth = F.array_max(F.transform(sentences, lambda s: tree_depth(F.transform(s, lambda t: t["head"]))))
+    return {
+        "clause_count": base["clause_count"],
+        "dependency_depth": F.coalesce(depth, F.lit(0)).cast("double"),
+        "mean_dependency_distance": distance["mean_distance"],
+        "max_dependency_distance": distance["max_distance"],
+        "normalized_dependency_distance": distance["normalised_distance"],
+        "nominalization_ratio": base["nominalisation_ratio"],
+        "modifier_density": base["modifier_density"],
+        "coordination_count": base["coordination_count"],
+        passive_name: base["passive_count"],
+        "sentence_compression_ratio": F.round(ratio, 6),
+        "token_count": base["token_count"],
+        "sentence_count": F.greatest(count, F.lit(1)).cast("double"),
+        "avg_sentence_length": base["avg_sentence_length"],
+    }
+
+
+def vector_en(sentences: Column, source: Column, text: Column) -> dict[str, Column]:
+    """The thirteen measures of an English text that renders a Chinese source; an empty parse counts as one sentence."""
+    from ..functions.text import cjk_count, en_word_count
+
+    tokens = F.flatten(sentences)
+    base = features_en(tokens, F.greatest(F.size(sentences), F.lit(1)))
+    base["passive_count"] = _count(tokens, lambda t: passive(t, True)).cast("double")
+    return _whole(sentences, base, en_word_count(text) / F.greatest(cjk_count(source), F.lit(1)), "passive_count")
+
+
+def vector_zh(sentences: Column, source: Column, text: Column) -> dict[str, Column]:
+    """The thirteen measures of a Chinese text that renders an English source."""
+    from ..functions.text import cjk_count, source_word_count
+
+    base = features_zh(F.flatten(sentences), F.greatest(F.size(sentences), F.lit(1)), text)
+    return _whole(sentences, base, cjk_count(text) / source_word_count(source), "passive_or_beishi_count")

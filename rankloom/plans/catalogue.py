@@ -17,8 +17,8 @@ ORACLE: dict[str, str] = {}
 
 LETTERS = judging.LETTERS
 PAIRS = judging.PAIRS
-#: The screen for texts of this project's corpus: several scripts, so the share of Chinese letters is no test.
-RULES = screening.Rules(min_chars=220, max_chars=650, min_cjk=0.0, max_digit=0.22, min_marks=0)
+#: The screen of Chinese texts, with its default thresholds.
+RULES = screening.Rules()
 EN_TERMS = ["percent", "per", "million", "on"]
 
 
@@ -81,9 +81,7 @@ def q_rankings_long(spark, d):
     return judging.long_ranks(_ranks(spark, d))
 
 
-@query(LONG + """ SELECT x.judge AS judge, x.sample_id AS sample_id, x.letter AS candidate_a, y.letter AS candidate_b,
-  CASE WHEN x.rank < y.rank THEN x.letter ELSE y.letter END AS winner
-  FROM long x JOIN long y ON x.judge = y.judge AND x.sample_id = y.sample_id AND x.letter < y.letter""")
+@query(RANKS + " SELECT judge, sample_id, p[1] AS candidate_a, p[2] AS candidate_b, CASE WHEN list_extract(r, ascii(p[1]) - 64) < list_extract(r, ascii(p[2]) - 64) THEN p[1] ELSE p[2] END AS winner FROM (SELECT judge, sample_id, [A, B, C, D, E, F] AS r, unnest([" + ", ".join(f"'{a}{b}'" for a, b in PAIRS) + "]) AS p FROM ranks)")
 def q_pairwise_judgments(spark, d):
     return judging.pair_judgements(_ranks(spark, d))
 
@@ -272,9 +270,9 @@ def q_translationese_zh(spark, d):
     return docs.select("doc_id", *[v.alias(k) for k, v in T.style_zh(F.col("text")).items()])
 
 
-@query()
+@query(f"SELECT doc_id, (lower(lang) IS NOT DISTINCT FROM 'zh' AND {_cnt(CJK_RE)} > 0) OR regexp_full_match(text, '[\\x00-\\x7F]*', 's') AS repaired FROM documents WHERE text IS NOT NULL")
 def q_repair_mojibake(spark, d):
-    """Texts read in a wrong code page: those of one-byte languages, garbled on purpose and repaired; rows only."""
+    """UTF-8 texts read as Latin-1 on purpose: the Chinese ones come back; others only if they are the same in both."""
     docs = table(spark, d, "documents").where("text is not null")
     garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return docs.select("doc_id", (T.repair_mojibake(garbled, F.coalesce(F.lower("lang"), F.lit("en"))) == F.col("text")).alias("repaired"))
@@ -309,31 +307,35 @@ HARD = "|".join(screening.HARD_NOISE)
 SOFT = " + ".join(f"CAST(regexp_matches(text, '{p}') AS INT)" for p in screening.SOFT_NOISE)
 REASON = f"""CASE WHEN text IS NULL OR length(text) < 220 OR length(text) > 650 THEN 'length'
   WHEN regexp_matches(text, '{HARD}') THEN 'hard_noise'
-  WHEN {_cnt(CJK_RE)} / greatest(length(text), 1) < 0.0 THEN 'cjk_ratio'
+  WHEN {_cnt(CJK_RE)} / greatest(length(text), 1) < 0.58 THEN 'cjk_ratio'
   WHEN {_cnt('\\p{Nd}')} / greatest(length(text), 1) > 0.22 THEN 'digit_ratio'
-  WHEN {_cnt('[。！？]')} < 0 THEN 'sentence_count'
+  WHEN {_cnt('[。！？]')} < 3 THEN 'sentence_count'
   WHEN {_terms(['：'])} > 8 OR {_terms(['【'])} > 4 THEN 'punctuation_noise'
   WHEN {SOFT} >= 2 AND ({_terms(['股'])} > 6 OR {_terms(['涨'])} > 6) THEN 'stock_ticker_noise'
   WHEN {_terms(['。'])} > 0 AND length(text) / greatest({_terms(['。'])}, 1) < 35 THEN 'fragmented' END"""
 
 
+ZH = "lower(lang) = 'zh'"
+
+
 def _screened(spark, d):
-    return table(spark, d, "documents").withColumn("reason", screening.reject_reason(F.col("text"), RULES))
+    """The Chinese documents and why each would be rejected."""
+    return table(spark, d, "documents").where(ZH).withColumn("reason", screening.reject_reason(F.col("text"), RULES))
 
 
-@query(f"SELECT doc_id, {REASON} AS reason FROM documents")
+@query(f"SELECT doc_id, {REASON} AS reason FROM documents WHERE {ZH}")
 def q_reject_reason(spark, d):
     return _screened(spark, d).select("doc_id", "reason")
 
 
-@query(f"SELECT coalesce({REASON}, 'accepted') AS reason, count(*) AS n FROM documents GROUP BY ALL")
+@query(f"SELECT coalesce({REASON}, 'accepted') AS reason, count(*) AS n FROM documents WHERE {ZH} GROUP BY ALL")
 def q_reject_counts(spark, d):
     return _screened(spark, d).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT count(*) AS scanned, count(*) FILTER (WHERE {REASON} IS NULL) AS accepted, count(*) FILTER (WHERE {REASON} IS NOT NULL) AS rejected FROM documents")
+@query(f"SELECT count(*) AS scanned, count(*) FILTER (WHERE {REASON} IS NULL) AS accepted, count(*) FILTER (WHERE {REASON} IS NOT NULL) AS rejected FROM documents WHERE {ZH}")
 def q_pipeline_counters(spark, d):
-    return screening.counters(table(spark, d, "documents"), screening.reject_reason(F.col("text"), RULES))
+    return screening.counters(table(spark, d, "documents").where(ZH), screening.reject_reason(F.col("text"), RULES))
 
 
 @query(f"SELECT doc_id FROM documents WHERE length(text) BETWEEN 180 AND 800 AND NOT regexp_matches(text, '{'|'.join(screening.EXCLUDED_TERMS)}') AND {_cnt(CJK_RE)} / greatest(length(text), 1) >= 0.5 AND {_cnt('\\p{Nd}')} / greatest(length(text), 1) <= 0.35 AND {_cnt('[。！？]')} >= 2")
@@ -354,7 +356,7 @@ def q_dedupe_hash(spark, d):
     return screening.first_per_key(table(spark, d, "documents").select("doc_id", "text"), T.text_hash(F.col("text")), ["doc_id"]).select("doc_id", F.col("dedupe_key").alias("text_hash"))
 
 
-@query(f"WITH a AS (SELECT doc_id FROM documents WHERE {REASON} IS NULL ORDER BY doc_id LIMIT 400) SELECT doc_id, printf('DOC_%06d', row_number() OVER (ORDER BY doc_id)) AS serial_id FROM a")
+@query(f"WITH a AS (SELECT doc_id FROM documents WHERE {ZH} AND {REASON} IS NULL ORDER BY doc_id LIMIT 400) SELECT doc_id, printf('DOC_%06d', row_number() OVER (ORDER BY doc_id)) AS serial_id FROM a")
 def q_accept_until_target(spark, d):
     """The first 400 acceptable documents; the target is the feature."""
     return screening.accept_until(_screened(spark, d), F.col("reason").isNull(), "doc_id", 400).select("doc_id", "serial_id")
@@ -595,9 +597,9 @@ def q_candidate_explode(spark, d):
     return rows.select("sample_id", "generation_round", "letter", "feature_target", F.length("translation").alias("chars"))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), text, source, category)), 'central bank') AND category = 'policy'")
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), text, source, category)), 'central bank')")
 def q_search(spark, d):
-    return records.search(table(spark, d, "documents").where("category = 'policy'"), ["text", "source", "category"], "Central Bank").select("doc_id")
+    return records.search(table(spark, d, "documents"), ["text", "source", "category"], "Central Bank").select("doc_id")
 
 
 @query("WITH r AS (SELECT DISTINCT sample_id, generation_round, source_text FROM ec_400_with_candidates) SELECT a.sample_id AS sample_id, a.source_text IS DISTINCT FROM b.source_text AS dirty FROM r a JOIN r b ON a.sample_id = b.sample_id WHERE a.generation_round = 1 AND b.generation_round = 2")
@@ -663,10 +665,12 @@ def q_most_common(spark, d):
 
 @query("SELECT source, doc_id, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def q_row_navigation(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("source", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lead("doc_id").over(w).alias("after"))
+    """Neighbours by row number in the order of source and id, so that no task holds a whole source."""
+    rows = screening.numbered(table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"])
+    side = lambda step, name: rows.select((F.col("row_no") + step).alias("row_no"), F.col("source").alias(f"s_{name}"), F.col("doc_id").alias(name))
+    both = rows.join(side(1, "before"), "row_no", "left").join(side(-1, "after"), "row_no", "left")
+    near = lambda name: F.when(F.col(f"s_{name}").eqNullSafe(F.col("source")), F.col(name)).alias(name)
+    return both.select("source", "doc_id", near("before"), near("after"))
 
 
 DIM = 64
@@ -695,7 +699,10 @@ def q_file_catalog(spark, d):
     return records.catalogue(table(spark, d, "documents").select(path.alias("path")).distinct(), ["v1", "v2"])
 
 
-@query()
+STREAMED = f"(SELECT doc_id, {NORMAL} AS text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH k AS (SELECT min_by(text, doc_id) AS text, min(doc_id) AS doc_id, sha256({KEY}) AS dedupe_key FROM {STREAMED} GROUP BY 3) SELECT doc_id, dedupe_key FROM k WHERE {REASON} IS NULL")
 def q_stream_screen(spark, d):
     """The screen as a stream over the documents, run to its end; accepted documents."""
     import uuid

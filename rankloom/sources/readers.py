@@ -107,14 +107,50 @@ def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("csv
 
 
 def read_auto(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON array, single object or JSON lines, told by the first character that isn't blank."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    first = head[0][0].lstrip(BOM).lstrip()[:1] if head else ""
-    if first == "[" or first == "{" and not head[0][0].rstrip().endswith("}"):
+    """JSON array, single object or JSON lines, told by the first line that isn't blank of the first file in path order."""
+    files = sorted(spark.read.text(path).inputFiles())
+    head = spark.read.text(files[0]).where(F.trim("value") != "").limit(1).collect() if files else []
+    line = head[0][0].lstrip(BOM).strip() if head else ""
+    if line.startswith("[") or line.startswith("{") and not line.endswith("}"):
         return read_json_array(spark, path, schema)
     return read_json_lines(spark, path, schema)
 
 
+def read_csv_text(df: DataFrame, text: str, header: list[str], keys: list[str]) -> DataFrame:
+    """keys, row_index, header: the data rows of a CSV that stands in a column, its first line being the header.
+
+    row_index counts data rows from 0; blank lines are skipped, all values are strings, missing ones null.
+    """
+    lines = F.filter(F.split(F.regexp_replace(text, "^" + BOM, ""), r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = df.select(*keys, F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("row_index", "_line"))
+    parsed = rows.withColumn("_r", F.from_csv("_line", ", ".join(f"`{h}` string" for h in header), {"escape": '"'}))
+    return parsed.select(*keys, F.col("row_index").cast("bigint").alias("row_index"), *[F.col(f"_r.{h}").alias(h) for h in header])
+
+
+def stream_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of the rows of plain or gzip JSON lines, new files as they come; blank and malformed lines are dropped.
+
+    _source_file and _block_start tell where a row comes from; rows have no running number, which a stream can't have.
+    """
+    lines = spark.readStream.text(path).select("value", F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block_start"))
+    rows = lines.where(F.col("value").rlike(r"^\s*\{.*\}\s*$")).withColumn("r", F.from_json("value", schema)).where(F.try_parse_json("value").isNotNull())
+    return rows.select("r.*", "_source_file", "_block_start")
+
+
+def read_cache(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """The latest value of each key that write_cache stored; an empty table if there is no cache yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())])).parquet(path)
+    names = schema.fieldNames()
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "version").alias("_r")).select(*[F.col(f"_r.{n}").alias(n) for n in names])
+
+
+def accepted_count(spark: SparkSession, path: str) -> int:
+    """Non-blank lines of an output; 0 if there is none."""
+    return spark.read.text(path).where(F.trim("value") != "").count() if exists(spark, path) else 0
+
+
 def done_keys(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
     """Distinct keys of an existing JSON-lines output; an empty table if there is none. Malformed lines are skipped."""
     if not exists(spark, path):
