@@ -1,19 +1,24 @@
 """Near-duplicate groups by PartEnum signatures.
 
 The features of a text are the distinct five-character runs of its folded form (consistent form, case
-ignored, letters and digits only). Sizes fall into bands whose ratio is 1 / threshold, so that two sets
-that are similar enough lie in one band or in neighbouring ones; each set is enumerated for its own
-band and both neighbours, so that any two such sets share at least two bands. Within a band the feature domain is cut by hash into partitions; a signature is
-(band, partition, exact content of the partition), and sets that agree in one partition share it. In
-bands of large sets the domain is first thinned by hash so that a set keeps about PARTS * PER_PART
-features; bands of small sets are cut in several independent ways. Of the partitions only those with at
-least LEAST features are enumerated, since smaller ones agree by chance.
-
-Sets of similarity s agree in a partition of m features with probability about s**m. With the default
-parameters a link of similarity 0.7 shares about seven signatures or more, whatever the two sizes, and of
-2,000 simulated pairs of each size class none had no common one (see the README); guaranteed cover (more first-level partitions than differing features) needs
-partitions of one or two features here, which all texts share. Candidates are verified exactly, and
-groups are the connected components of the verified links.
+ignored, letters and digits only). Sizes fall into bands of ratio two. A set is enumerated for its own band,
+and for the next one too if a similar larger set may lie there, so that two sets that are similar enough are
+always enumerated for the larger one's band. Within a band the feature domain is cut by hash into GROUPS
+first-level partitions of SECOND second-level partitions each, the latter with about PER_PART features of the
+largest sets. In each first-level partition every subset of its second-level partitions is enumerated whose
+features in the set number LEAST to MOST; the signature is (band, first-level partition, subset, exact content
+of the subset). Sets that agree on such a subset share the signature, whatever else differs. In bands of large
+sets the domain is first thinned by hash, since a part of it tells enough; bands of small sets are cut in
+several independent ways instead, and sets of a few features are their own signatures, feature by feature.
+
+Guaranteed cover (more first-level partitions than differing features) would need partitions of one or two
+features at similarity 0.7, which all texts share. Here a pair of similarity 0.7 has ten or more common
+signatures in the mean; the README gives the measured misses for all sizes. Candidates whose sketches disagree
+more than a similar pair's would by SLACK standard deviations are dropped, the others verified exactly,
+and groups are the connected components of the verified links.
+
+Signatures are moved in packed blocks, one per batch and bucket of the signature space, and looked through a
+bucket at a time; only documents that share one go on.
 
 Texts without letters or digits have no features: those of one consistent form are one group. Texts
 of fewer than five letters have one feature, the whole of it. Null texts belong to no group.
@@ -36,11 +41,25 @@ from .textform import canonical, fold_codes
 
 WIDTH = 5
 THRESHOLD = 0.7
-PARTS = 48
-PER_PART = 5.0
-LEAST = 4
-#: Bands whose middle is below the size are cut in so many independent ways; larger ones in one.
-TURNS = ((30, 8), (60, 4), (160, 2))
+#: First-level partitions of a band, second-level partitions of each, and features of the largest sets in one of these.
+GROUPS = 64
+SECOND = 2
+PER_PART = 4.0
+#: Features of an enumerated subset. Chance agreement of unrelated texts falls about fivefold with each feature more.
+LEAST, MOST = 4, 7
+#: Independent cuts of a small band, at most.
+TURNS = 16
+#: Largest size of the bands whose features are signatures themselves.
+TINY = 16
+#: Signatures that one bucket is meant to hold.
+PER_BUCKET = 2_000_000
+#: Bytes of a signature within its bucket, where two different ones of a full bucket agree by chance.
+SIG_BYTES = 5
+
+#: Bits of a sketch, and how far below the expected agreement (in standard deviations) a pair is left out unverified.
+SKETCH = 256
+SLACK = 7.0
+_EDGES = (np.arange(SKETCH, dtype=np.float64) * (2.0**64 / SKETCH)).astype(np.uint64)
 #: Buckets up to this many members are compared pairwise; larger ones through a hub first.
 BUCKET = 64
 #: Members of large buckets are counted against each other in blocks of about so many.
@@ -48,11 +67,6 @@ BLOCK = 256
 #: Features whose columns of a block are multiplied at once.
 CHUNK = 8192
 
-#: Bits of a sketch, and how far below the expected agreement (in standard deviations) a pair is left out unverified.
-SKETCH = 256
-SLACK = 4.5
-_EDGES = (np.arange(SKETCH, dtype=np.float64) * (2.0**64 / SKETCH)).astype(np.uint64)
-
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,40 +93,44 @@ def runs(codes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return h[np.r_[True, h[1:] != h[:-1]]]
 
 
-def signatures(features: np.ndarray, threshold: float = THRESHOLD, parts: int = PARTS, per_part: float = PER_PART, least: int = LEAST) -> np.ndarray:
-    """The PartEnum signatures of a set for its own size band and both neighbours."""
+_SUBSETS = np.array([[m >> i & 1 for m in range(1, 1 << SECOND)] for i in range(SECOND)], np.uint64)  # one column per subset
+
+
+def signatures(features: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The PartEnum signatures of a set for its band, and the next if a similar set may lie there."""
     n = len(features)
     if not n:
         return np.zeros(0, np.uint64)
-    step = -np.log(threshold)
-    band = int(np.log(n) / step + 1e-9)
+    whole = GROUPS * SECOND * PER_PART
     out = []
-    for b in (band - 1, band, band + 1):
-        middle = np.exp(step * (b + 0.5))
-        if middle < 4 * per_part:  # the domain is too small to cut: single features are the partitions
-            out.append(mix(features + np.uint64((b + 1) * 1_000_003 + 17)))
+    for band in range(n.bit_length() - 1, int(n / threshold + 1e-9).bit_length()):
+        top = 2 << band
+        if top <= TINY:
+            out.append(mix(features + np.uint64(band * 1_000_003 + 17)))
             continue
-        per, low = (per_part, least) if middle >= 100 else (4.0, 3)
-        keep = min(1.0, parts * per / middle)
-        count = parts if keep < 1 else max(1, round(middle / per))
-        for turn in range(next((t for below, t in TURNS if middle < below), 1)):
-            # Partitions follow the order of a hash, so each is a slice of the sorted features; no two bands that a pair shares have one order.
-            f = mix(features + np.uint64(int(_K3) * (1 + b % 3 + 3 * turn) % 2**64))
+        keep = min(1.0, whole / top)
+        groups = GROUPS if keep < 1 else max(1, round(top / (SECOND * PER_PART)))
+        cells = groups * SECOND
+        borders = (np.arange(1, cells) * (keep / cells * 2.0**64)).astype(np.uint64)
+        for turn in range(1 if keep < 1 else min(TURNS, round(whole / top))):
+            # partitions follow the order of a hash, so each is a slice of the sorted features
+            f = mix(features + np.uint64(int(_K3) * (1 + band % 2 + 2 * turn) % 2**64))
             f = np.sort(f[f < np.uint64(keep * 2.0**64)] if keep < 1 else f)
+            edges = np.concatenate(([0], np.searchsorted(f, borders), [len(f)]))
             total = np.zeros(len(f) + 1, np.uint64)
             np.cumsum(mix(f ^ _K1), out=total[1:])
-            edges = np.searchsorted(f.astype(np.float64) / 2.0**64, np.arange(count + 1) * (keep / count))
-            edges[-1] = len(f)
-            use = np.flatnonzero(np.diff(edges) >= low)
-            content = total[edges[use + 1]] - total[edges[use]]
-            out.append(mix(content + np.uint64(b * 1_000_003 + turn * 7919) + use.astype(np.uint64) * _K2))
+            content = (total[edges[1:]] - total[edges[:-1]]).reshape(groups, SECOND) @ _SUBSETS
+            held = np.diff(edges).astype(np.uint64).reshape(groups, SECOND) @ _SUBSETS
+            group, subset = np.nonzero((held >= LEAST) & (held <= MOST))
+            place = (group * len(_SUBSETS.T) + subset + 1).astype(np.uint64)
+            out.append(mix(content[group, subset] + np.uint64(band * 1_000_003 + turn * 7919) + place * _K2))
     return np.concatenate(out)
 
 
 def sketch(features: np.ndarray) -> bytes:
     """SKETCH bits: of each of as many slices of the hash domain, one bit of its smallest feature.
 
-    Sets of similarity s agree in about (1 + s) / 2 of the bits.
+    Sets of similarity s agree in about (1 + s) / 2 of the bits, unrelated ones in half.
     """
     edges = np.searchsorted(features, _EDGES)
     first = features[np.minimum(edges, max(len(features) - 1, 0))] if len(features) else np.zeros(SKETCH, np.uint64)
@@ -130,24 +148,82 @@ def content_key(text: str, codes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(codes.tobytes() if len(codes) else b"\0" + canonical(text).encode())
 
 
-def _sign(threshold: float, parts: int, per_part: float, least: int):
+def _sign(buckets: int):
+    """Per batch and bucket one block: signatures in order, and the document of each as its distance from the batch's first."""
+    names = ["bucket", "first", "n", "sig", "doc"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, rep, seen = [], [], set()
-            for doc, text in zip(_texts(batch, 0), _texts(batch, 1)):
+            sig, doc, seen = [], [], set()
+            for d, text in zip(_texts(batch, 0), _texts(batch, 1)):
                 codes = fold_codes(text)
                 if len(codes) and (h := content_key(text, codes)) not in seen:
                     seen.add(h)
-                    features = runs(codes)
-                    s = signatures(features, threshold, parts, per_part, least)
+                    s = signatures(runs(codes))
                     sig.append(s)
-                    rep.append(np.full(len(s), h, np.uint64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(rep).view(np.int64))], ["sig", "h"])
+                    doc.append(np.full(len(s), d, np.int64))
+            if not sig:
+                continue
+            sig, doc = np.concatenate(sig), np.concatenate(doc)
+            order = np.argsort(sig)
+            sig, doc = sig[order], doc[order]
+            first = int(doc.min())
+            width = max(1, -(-(int(doc.max()) - first).bit_length() // 8))
+            far = (doc - first).view(np.uint8).reshape(-1, 8)[:, :width]
+            share = np.uint64((1 << 64) // buckets + 1)
+            own = (sig // share).astype(np.int64)
+            rest = mix(sig).view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            ends = np.append(starts[1:], len(sig))
+            cols = [
+                pa.array(own[starts], pa.int64()), pa.array(np.full(len(starts), first), pa.int64()), pa.array(ends - starts, pa.int64()),
+                pa.array([rest[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([far[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """n numbers of equal width, packed low byte first, as 64-bit integers."""
+    out = np.zeros((n, 8), np.uint8)
+    own = np.frombuffer(packed, np.uint8).reshape(n, -1)
+    out[:, : own.shape[1]] = own
+    return out.view(np.int64).ravel()
+
+
+def _collide(block: pa.Table) -> pa.Table:
+    """(a, b, sig): pairs of documents that share a signature, each once, with a null sig; of signatures with more than BUCKET documents, the documents."""
+    sig, doc = [], []
+    for first, n, s, d in zip(*(block.column(c).to_pylist() for c in ("first", "n", "sig", "doc"))):
+        sig.append(_wide(s, n).view(np.uint64))
+        doc.append(_wide(d, n) + first)
+    sig, doc = np.concatenate(sig), np.concatenate(doc)
+    order = np.argsort(sig, kind="stable")
+    sig, doc = sig[order], doc[order]
+    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(starts, len(sig)))
+    left, right, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for k in np.unique(size[(size > 1) & (size <= BUCKET)]):
+        rows = doc[starts[size == k][:, None] + np.arange(k)]
+        i, j = np.triu_indices(k, 1)
+        left.append(rows[:, i].ravel())
+        right.append(rows[:, j].ravel())
+    for a, n in zip(starts[size > BUCKET], size[size > BUCKET]):
+        large.append(np.arange(a, a + n))
+    left, right = np.concatenate(left), np.concatenate(right)
+    pair = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1)
+    pair = pair[:, pair[0] != pair[1]]
+    at = np.concatenate([np.zeros(0, np.int64), *large])
+    n, m = pair.shape[1], len(at)
+    return pa.table({
+        "bucket": pa.array(np.full(n + m, block.column("bucket")[0].as_py()), pa.int64()),
+        "a": pa.array(np.concatenate([pair[0], doc[at]]), pa.int64()),
+        "b": pa.array(np.concatenate([pair[1], np.zeros(m, np.int64)]), pa.int64(), mask=np.arange(n + m) >= n),
+        "sig": pa.array(np.concatenate([np.zeros(n, np.int64), sig[at].view(np.int64)]), pa.int64(), mask=np.arange(n + m) < n),
+    })
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch, 1)
@@ -186,12 +262,14 @@ def _similar(threshold: float):
     return run
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch, 1)
         codes = [fold_codes(t) for t in texts]
         h = np.array([content_key(t, c) for t, c in zip(texts, codes)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pa.array([sketch(runs(c)) for c in codes], pa.binary())], ["doc", "h", "sketch"])
+        size = [max(0, len(c) - WIDTH + 1) or int(len(c) > 0) for c in codes]  # runs, repeated ones too: no set is larger
+        sketches = pa.array([sketch(runs(c)) for c in codes], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pa.array(size, pa.int64()), sketches], ["doc", "h", "runs", "sketch"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -250,48 +328,51 @@ def inner_degrees(inner: DataFrame, folded: DataFrame, threshold: float) -> Data
     return rows.groupBy("component", "x", "y").applyInArrow(_block_degrees(threshold), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS, per_part: float = PER_PART, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(doc, h) membership of content classes, (a, b) verified links between different contents, and h near a hub.
 
     The links join all similar contents, but two contents that are both near the hub of a large bucket may not be
     linked directly; without large buckets the third is None. docs: (doc, text) without null texts.
     """
-    members = cut(docs.mapInArrow(_sketched, "doc long, h long, sketch binary"))
-    sigs = docs.mapInArrow(_sign(threshold, parts, per_part, least), "sig long, h long")
-    shared = cut(
-        docs.sparkSession.sql(
-            "select sig, h, hub, n from (select sig, h, min(h) over w as hub, max(h) over w as top, count(*) over w as n "
-            "from {sigs} window w as (partition by sig)) where hub <> top",
-            sigs=sigs,
-        ).distinct()
-    )
-    small, large = shared.where(F.col("n") <= BUCKET), shared.where(F.col("n") > BUCKET)
-    other = small.select("sig", F.col("h").alias("b"))
-    pairs = small.select("sig", F.col("h").alias("a")).join(other, "sig").where("a < b").select("a", "b")
-    hubs = large.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
-    pairs = pairs.union(hubs).distinct()
-    reps = members.groupBy("h").agg(F.min(F.struct("doc", "sketch")).alias("r")).select("h", "r.doc", "r.sketch")
+    members = cut(docs.mapInArrow(_keyed, "doc long, h long, runs long, sketch binary"))
+    # at most two bands of so many signatures for each run of a text, and no more than the partitions give
+    most = 2 * GROUPS * _SUBSETS.shape[1]
+    total = members.agg(F.sum(F.least(F.col("runs") * TURNS, F.lit(most)))).first()[0] or 0
+    buckets = max(24, -(-int(total) // PER_BUCKET))
+    blocks = docs.mapInArrow(_sign(buckets), "bucket long, first long, n long, sig binary, doc binary")
+    met = cut(blocks.groupBy("bucket").applyInArrow(_collide, "bucket long, a long, b long, sig long"))
+    keys = members.select("doc", "h").distinct()
+    ends = [keys.select(F.col("doc").alias(d), F.col("h").alias(h)) for d, h in (("a", "x"), ("b", "y"))]
+    small = met.where("sig is null").select("a", "b").distinct().join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    large = met.where("sig is not null").select("bucket", "sig", "a").join(ends[0], "a").select(F.xxhash64("bucket", "sig").alias("sig"), F.col("x").alias("h")).distinct()
     hot = bool(large.take(1))
+    if hot:
+        large = cut(large.join(large.groupBy("sig").agg(F.min("h").alias("hub"), F.count("*").alias("n")).where("n > 1"), "sig"))
+        few = large.where(F.col("n") <= BUCKET)
+        small = small.union(few.select("sig", F.col("h").alias("x")).join(few.select("sig", F.col("h").alias("y")), "sig").select("x", "y"))
+        large = large.where(F.col("n") > BUCKET)
+        small = small.union(large.select(F.col("hub").alias("x"), F.col("h").alias("y")))
+    pairs = small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    reps = members.groupBy("h").agg(F.min(F.struct("doc", "sketch")).alias("r")).select("h", "r.doc", "r.sketch")
+
+    def promising(p: DataFrame) -> DataFrame:
+        x, y = (reps.select(F.col("h").alias(e), F.col("sketch").alias("s" + e)) for e in ("a", "b"))
+        return cut(p.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_promising(threshold), "a long, b long"))
 
     def texts_of(p: DataFrame) -> DataFrame:
         need = p.select(F.col("a").alias("h")).union(p.select("b")).distinct().join(reps, "h").select("doc")
         return cut(docs.join(need, "doc", "left_semi").mapInArrow(_folded, "h long, folded string").dropDuplicates(["h"]))
 
-    def promising(p: DataFrame) -> DataFrame:
-        x, y = (reps.select(F.col("h").alias(e), F.col("sketch").alias("s" + e)) for e in ("a", "b"))
-        rows = p.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
-        return cut(rows.mapInArrow(_promising(threshold), "a long, b long"))
-
     pairs = promising(pairs)
     found = cut(_verified(pairs, texts_of(pairs), threshold))
     inner = None
     if hot:  # members of a large bucket that are not near its hub are compared with all its members
-        near = found.select(F.col("a").alias("hub"), F.col("b").alias("h"))
+        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.select(F.col("a").alias("hub"), F.col("b").alias("h"))
         far = large.where("h <> hub").join(near, ["hub", "h"], "left_anti")
         inner = cut(large.where("h <> hub").join(near, ["hub", "h"], "left_semi").select("h").distinct())
         rest = far.select("sig", F.col("h").alias("x")).join(large.select("sig", F.col("h").alias("y")), "sig").where("x <> y")
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = promising(rest.join(pairs, ["a", "b"], "left_anti"))
+        rest = promising(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
         found = cut(found.union(_verified(rest, texts_of(rest), threshold)))
     return members.select("doc", "h"), found, inner
 

@@ -129,3 +129,32 @@ def test_sketch_agreement():
     x, y = (np.frombuffer(neardup.sketch(s), np.uint8) for s in (a, b))
     same = neardup.SKETCH - int(np.bitwise_count(x ^ y).sum())
     assert same > neardup.SKETCH * 0.75
+
+
+@pytest.mark.parametrize(("small", "large"), [(12, 12), (12, 17), (23, 32), (32, 32), (45, 64), (63, 63), (90, 128), (127, 127), (180, 256), (370, 520), (740, 1040), (2100, 3000)])
+def test_misses_at_the_threshold(small, large):
+    rng = np.random.default_rng(large + small)
+    both = min(small, -(-7 * (small + large) // 17))
+    missed = 0
+    for _ in range(400):
+        f = np.unique(rng.integers(0, 2**64, small + large - both, dtype=np.uint64))
+        rng.shuffle(f)
+        missed += not set(neardup.signatures(f[:small]).tolist()) & set(neardup.signatures(np.r_[f[:both], f[small:]]).tolist())
+    assert missed == 0
+
+
+def test_signatures_name_band_partition_subset_and_content():
+    rng = np.random.default_rng(7)
+    a = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    assert len(set(neardup.signatures(a).tolist())) == len(neardup.signatures(a)) > 50
+    b = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    assert not set(neardup.signatures(a).tolist()) & set(neardup.signatures(b).tolist())
+    assert neardup.signatures(np.zeros(0, np.uint64)).size == 0
+
+
+def test_blocks_of_far_document_numbers(spark):
+    rows = [(i * 10**12 - 5, "one text about the harbour at night" if i % 2 else f"other words {i} " * 5) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc: r.group_id for r in neardup.near_duplicates(df, "doc_id", "text").collect()}
+    odd = [i * 10**12 - 5 for i in (1, 3, 5)]
+    assert {got[d] for d in odd} == {odd[0]} and len(got) == 6
