@@ -8,6 +8,10 @@ three to the power of the number of functions, however many rows there are. The
 pattern labels all rows with it. A variant keeps every defect whose posterior exceeds the cutoff; the
 cutoff is the lowest one whose flagged set has an expected error within MAX_ERROR.
 
+A refusal shows in its wording, for which there are lists, and whatever its wording in its relation to the
+rest: sentences that neither the source nor the other variants account for, and responses that are
+nothing but such sentences, much shorter than a rendering would be and without the source's numbers.
+
 Null and blank responses are empty. A null source leaves the functions that need it abstaining. Rows
 without variants give no row; re-delivered rows count once. defect() reports one defect per variant:
 the first in the order of DEFECTS among those retained, since an unusable response needs no further type.
@@ -39,6 +43,8 @@ START = (0.7, 0.01, 0.02)
 
 _HAN = regex.compile(r"\p{Han}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
+_LATIN = regex.compile(r"[a-z\u00df-\u024f]")
+_DIGIT = regex.compile(r"\p{Nd}")
 _QUOTED = regex.compile(r"“[^”]*(?:”|$)|「[^」]*(?:」|$)|\"[^\"]*(?:\"|$)|«[^»]*(?:»|$)|„[^“”]*(?:[“”]|$)")
 _LEAD = regex.compile(r"^\s*(?:[\[【(（][^\]】)）]{1,24}[\]】)）]\s*[:：]?|[^:：\n\d]{1,24}[:：])\s*|^[^\n\d]{1,24}\n")
 _MARKS = FULL_MARKS + ".!?．"
@@ -59,13 +65,14 @@ CANNOT = regex.compile(
 POLICY = regex.compile(r"(?i)相关规定|内容限制|安全考虑|受限信息|政策|规定|合规|敏感|持证|违反|guideline|polic(?:y|ies)|violat|regulat|restricted|not permitted|licensed")
 OFFER = regex.compile(r"(?i)请先补充|信息不足|不足以|感谢理解|敬请谅解|请谅解|请见谅|如需帮助|请告诉我|您可以|您好|可以帮您|建议咨询|其他话题|请提供|please try|please provide|could you|can you (?:share|provide)|clarify|different passage|regrettably|unfortunately|sorry|apologi[sz]e|抱歉|对不起|不好意思|遗憾")
 META = regex.compile(r"(?i)翻译|译文|译者|版本|话题|原文|请求|作答|该段|此段|这段|该内容|材料|此类|处理|能力|translat|request|passage|\bversion\b|assist|source first|this (?:text|content)")
+_CUT = regex.compile(r"[\p{Han}]\d*$")
 _SCALE = {"million": 6, "billion": 9, "trillion": 12, "万": 4, "亿": 8}
 _NUMBER = regex.compile(r"(\d[\d,]*(?:\.\d+)?)\s*(million|billion|trillion|万|亿)?")
 _TIME = regex.compile(r"(?i)\b\d{1,2}(?:[.:]\d{2})?\s*[ap]\.m\.|\bsigned on \p{L}+\.? \d{1,2}")
 
 FUNCTIONS: dict[str, list[str]] = {
     "empty": ["e_null", "e_bare", "e_word", "e_tiny"],
-    "refusal": ["r_self", "r_cannot", "r_policy", "r_offer", "r_meta", "r_alien"],
+    "refusal": ["r_self", "r_cannot", "r_policy", "r_offer", "r_meta", "r_alien", "r_void"],
     "copied_source": ["c_share", "c_latin", "c_words"],
     "other_language": ["o_script", "o_own", "o_kana", "o_words"],
     "truncated": ["t_open", "t_dots", "t_number", "t_recall", "t_tail", "t_short", "t_goes_on", "t_hanging"],
@@ -96,6 +103,10 @@ def _unquoted(text: str) -> str:
     return _QUOTED.sub(" ", text)
 
 
+def _count(pattern, s: str) -> int:
+    return len(pattern.findall(s))
+
+
 class _Text:
     """What is computed once per variant."""
 
@@ -103,13 +114,10 @@ class _Text:
         self.raw = raw
         self.text = canonical(raw) or ""
         self.letters = letters(self.text)
-        words = [c for c in self.letters if not c.isdigit()]
-        self.n = len(words)
-        self.han = sum(bool(_HAN.match(c)) for c in words)
-        self.kana = sum(bool(_KANA.match(c)) for c in words)
-        self.latin = sum("a" <= c < "ɐ" for c in words)
+        self.n = len(self.letters) - sum(map(str.isdigit, self.letters))
+        self.han, self.kana, self.latin = _count(_HAN, self.letters), _count(_KANA, self.letters), _count(_LATIN, self.letters)
         self.chinese = self.n > 0 and self.han > 0.5 * self.n and self.kana <= 0.03 * self.n
-        self.pairs = Counter(grams(self.letters, 2)) if self.chinese else Counter()
+        self.pairs = set(grams(self.letters, 2)) if self.chinese else set()
 
 
 def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
@@ -117,59 +125,76 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
     src = canonical(source) or ""
     src_letters = letters(src)
     src_grams = set(grams(src_letters, 5))
-    src_words = {w for w in regex.findall(r"\p{L}+", src.casefold())}
+    src_words = set(regex.findall(r"\p{L}+", src.casefold()))
     ended = src.rstrip()[-1:] in _MARKS + _CLOSE if src.strip() else None
-    units = [src[a:b] for a, b in spans(src)]
-    timeless = [_TIME.sub(" ", u) for u in units]
+    timeless = [_TIME.sub(" ", src[a:b]) for a, b in spans(src)]
     last_numbers = next((n for u in reversed(timeless) if (n := numbers(u))), set())
     all_numbers = numbers(" ".join(timeless))
     t = [_Text(x) for x in texts]
+    able = [v.chinese and v.n >= 0.07 * len(src_letters) for v in t]  # variants that can speak for the content
+    held = Counter(g for v, ok in zip(t, able) if ok for g in v.pairs)
     out = []
     for i, v in enumerate(t):
-        peers = [p for j, p in enumerate(t) if j != i and p.chinese and p.n >= 0.07 * len(src_letters)]
+        peers = [p for j, p in enumerate(t) if j != i and able[j]]
+        mine_too = v.pairs if able[i] else frozenset()  # grams of held that are the variant's own count one less
+        known = lambda g: held[g] - (g in mine_too) > 0  # noqa: B023, E731
         f: dict[str, int] = {}
         blank = not v.letters
         # empty
         f["e_null"] = int(v.raw is None or not v.text.strip())
         f["e_bare"] = int(blank)
-        f["e_word"] = int(blank or bool(PLACEHOLDER.match(v.text.strip())))
-        f["e_tiny"] = int(len(v.letters) <= 8 and not any(c.isdigit() for c in v.letters) and not (set(grams(v.letters, 2)) & {g for p in peers for g in p.pairs}) and bool(f["e_word"] or len(v.letters) < 3))
+        f["e_word"] = int(blank or len(v.text) < 80 and bool(PLACEHOLDER.match(v.text.strip())))
+        f["e_tiny"] = int(len(v.letters) <= 8 and not _DIGIT.search(v.letters) and not any(known(g) for g in grams(v.letters, 2)) and bool(f["e_word"] or len(v.letters) < 3))
         if blank or f["e_word"]:
             out.append(f | {k: 0 for d in DEFECTS[1:] for k in FUNCTIONS[d]})
             continue
         # refusal: only sentences that neither the source nor the other variants account for can be one
-        known = {g for p in peers for g in p.pairs}
         lead = _LEAD.match(v.text)
         body = v.text[lead.end() :] if lead and letters(v.text[lead.end() :]) else v.text
-        strange, alien = [], False
+        strange, alien, rendered = [], False, False
         for a, b in spans(body):
             u = _unquoted(body[a:b])
             w = letters(u)
-            own = grams(w, 2) if any(_HAN.match(c) for c in w) else grams(w, 5)
-            if not own or any(c.isdigit() for c in w):
+            if _DIGIT.search(w):
+                rendered = True
                 continue
-            han = sum(bool(_HAN.match(c)) for c in w) > 0.5 * len(w)
-            share = sum(g in known for g in own) / len(own) if han else sum(g in src_grams for g in own) / len(own)
-            if han and known and share >= 0.6 or not han and src_grams and share >= 0.4:
+            c = _count(_HAN, w)
+            own = grams(w, 2) if c else grams(w, 5)
+            if not own:
+                continue
+            han = c > 0.5 * len(w)
+            share = sum(map(known, own)) / len(own) if han else sum(map(src_grams.__contains__, own)) / len(own)
+            if han and peers and share >= 0.6 or not han and src_grams and share >= 0.4:
+                rendered = True
                 continue
             strange.append(u)
-            alien |= len(w) >= 6 and (han and bool(known) and share < 0.3 or not han and bool(src_grams) and share < 0.12 and w.isascii())
+            alien |= len(w) >= 6 and (han and bool(peers) and share < 0.3 or not han and bool(src_grams) and share < 0.12 and w.isascii())
         plain = " ".join(strange)
-        f["r_self"], f["r_cannot"], f["r_policy"] = (int(bool(p.search(plain))) for p in (SELF, CANNOT, POLICY))
-        f["r_offer"], f["r_meta"] = (int(bool(p.search(plain))) for p in (OFFER, META))
-        f["r_alien"] = int(alien) if known or src_grams else -1
-        # copy and language
+        if plain:
+            f["r_self"], f["r_cannot"], f["r_policy"] = (int(bool(p.search(plain))) for p in (SELF, CANNOT, POLICY))
+            f["r_offer"], f["r_meta"] = (int(bool(p.search(plain))) for p in (OFFER, META))
+        else:
+            f |= dict.fromkeys(("r_self", "r_cannot", "r_policy", "r_offer", "r_meta"), 0)
+        f["r_alien"] = int(alien) if peers or src_grams else -1
         body_letters = letters(body)
-        own = [g for g in grams(body_letters, 5) if not _HAN.search(g)]
-        share = sum(g in src_grams for g in own) / len(own) if own else 0.0
+        if not (peers and src_grams):
+            f["r_void"] = -1
+        elif alien and not rendered:
+            size = sorted(len(p.letters) for p in peers)[len(peers) // 2]
+            f["r_void"] = int(len(body_letters) < (0.45 * size if v.chinese else 0.5 * len(src_letters)))
+        else:
+            f["r_void"] = 0
+        # copy and language
         foreign = v.n - v.han
         mostly_latin = v.latin > 0.5 * v.n
-        words = [w for w in regex.findall(r"\p{Latin}+", body.casefold())]
+        own = [g for g in grams(body_letters, 5) if not _HAN.search(g)] if foreign > 0.2 * v.n else []
+        share = sum(map(src_grams.__contains__, own)) / len(own) if own else 0.0
+        words = regex.findall(r"\p{Latin}+", body.casefold()) if foreign > 0 else []
         same = sum(w in src_words for w in words) / len(words) if words else 0.0
         f["c_share"] = int(mostly_latin and share >= 0.85) if src_grams else -1
         f["c_latin"] = int(mostly_latin and share >= 0.8 and len(own) >= 5) if src_grams else -1
         f["c_words"] = int(mostly_latin and same >= 0.88 and share >= 0.6) if src_words else -1
-        meta = bool(f["r_self"] + f["r_cannot"] + f["r_policy"] + f["r_offer"] >= 1 and f["r_meta"] + f["r_cannot"] + f["r_alien"] >= 2)
+        meta = bool(f["r_self"] + f["r_cannot"] + f["r_policy"] + f["r_offer"] >= 1 and f["r_meta"] + f["r_cannot"] + f["r_alien"] >= 2 or f["r_void"] == 1)
         f["o_script"] = int(foreign > 0.5 * v.n and not (mostly_latin and share >= 0.8) and not meta)
         f["o_own"] = int(mostly_latin and share < 0.8 and not meta) if src_grams else -1
         f["o_kana"] = int(v.kana > 0.05 * v.n or (foreign - v.latin) > 0.3 * v.n)
@@ -186,12 +211,12 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
         mine = numbers(v.text)
         f["t_number"] = int(not (last_numbers & mine)) if last_numbers and len(all_numbers) > 0 else -1
         if len(peers) >= 2:
-            need = Counter(g for p in peers for g in p.pairs)
-            common = [g for g, n in need.items() if n >= max(2, 0.6 * len(peers))]
-            got = sum(g in v.pairs for g in common)
+            most = max(2, 0.6 * len(peers))
+            common = [g for g, n in held.items() if n - (g in mine_too) >= most]
+            got = sum(map(v.pairs.__contains__, common))
             f["t_recall"] = int(got < 0.85 * len(common)) if common else -1
-            tail = [g for p in peers for g in grams(p.letters, 2)[-max(6, len(p.letters) // 6) :] if need[g] >= max(2, 0.6 * len(peers))]
-            f["t_tail"] = int(sum(g in v.pairs for g in set(tail)) < 0.6 * len(set(tail))) if tail else -1
+            tail = {g for p in peers for g in grams(p.letters, 2)[-max(6, len(p.letters) // 6) :] if held[g] - (g in mine_too) >= most}
+            f["t_tail"] = int(sum(map(v.pairs.__contains__, tail)) < 0.6 * len(tail)) if tail else -1
             sizes = sorted(len(p.letters) for p in peers)
             f["t_short"] = int(len(v.letters) < 0.78 * sizes[len(sizes) // 2])
         else:
@@ -201,17 +226,26 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
         f["t_goes_on"] = -1
         if len(end) == 4 and end[-1:].isalnum() and peers:
             for size in (4, 3):
-                after = [p.text[m.end() : m.end() + 1] for p in peers for m in regex.finditer(regex.escape(end[-size:]), p.text)]
+                after = [p.text[k + size : k + size + 1] for p in peers for k in _places(p.text, end[-size:])]
                 if after:
                     f["t_goes_on"] = int(all(a.isalnum() or a in "·%.％" for a in after if a) and all(after))
                     break
-        opens = sum(core.count(c) for c in "“「『《（")
-        closes = sum(v.text.count(c) for c in "”」』》）")
-        f["t_hanging"] = int(opens > closes or bare[-1:] in "，,、：:；;·“「（(" or bool(regex.search(r"[\p{Han}]\d*$", core)) and f["t_goes_on"] == 1)
+        opens = sum(map(core.count, "“「『《（"))
+        closes = sum(map(v.text.count, "”」』》）"))
+        f["t_hanging"] = int(opens > closes or bare[-1:] in "，,、：:；;·“「（(" or bool(_CUT.search(core)) and f["t_goes_on"] == 1)
         out.append(f)
     return out
 
 
+def _places(text: str, part: str) -> list[int]:
+    """Where the part stands in the text, overlaps left out."""
+    out, k = [], text.find(part)
+    while k >= 0:
+        out.append(k)
+        k = text.find(part, k + len(part))
+    return out
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["sample_id", "generation_round", "variant_id", *DEFECTS]
     for batch in batches:

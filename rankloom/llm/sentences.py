@@ -20,6 +20,7 @@ consistent form, so they don't hide a word. Null texts and units without a lette
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,7 +66,7 @@ def _read_map() -> dict[str, str]:
 def readable(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alike letters replaced and invisible characters left out, and where each character came from."""
     table = _read_map()
-    if not any(c in table for c in set(text)):
+    if text.isascii() and "\t" not in text or table.keys().isdisjoint(text):
         return text, None
     out, at = [], []
     for i, c in enumerate(text):
@@ -75,29 +76,55 @@ def readable(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+_SCRIPTS = {"hani": "\u4e00-\u9fff", "kana": "\u3040-\u30ff", "cyrl": "\u0400-\u052f", "latn": "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"}
+_BY_SCRIPT = {k: regex.compile(f"[{v}]+") for k, v in _SCRIPTS.items()}
+_OTHER = regex.compile(f"[\\p{{L}}--[{''.join(_SCRIPTS.values())}]]+", regex.V1)
+
+
 def language(text: str) -> str:
     """A language or script tag: enough to keep statistics of different languages apart."""
-    seen: Counter = Counter()
-    for c in text:
-        if c.isalpha():
-            seen["hani" if "一" <= c <= "鿿" else "kana" if "぀" <= c <= "ヿ" else "cyrl" if "Ѐ" <= c <= "ԯ" else "latn" if c < "ɐ" else "other"] += 1
-    if not seen:
+    if text.isascii():
+        seen = {"latn": sum(map(len, _BY_SCRIPT["latn"].findall(text)))}
+    else:
+        seen = {k: sum(map(len, p.findall(text))) for k, p in (*_BY_SCRIPT.items(), ("other", _OTHER))}
+    if not any(seen.values()):
         return "none"
-    if seen["kana"] > 0.05 * seen.total():
+    if seen.get("kana", 0) > 0.05 * sum(seen.values()):
         return "ja"
-    top = seen.most_common(1)[0][0]
+    top = max(seen, key=seen.get)
     if top != "latn":
         return top
+    found = Counter(w for w in text.lower().split() if w in _BY_WORD)
     votes: Counter = Counter()
-    for w in text.lower().split():
-        for k in _BY_WORD.get(w, ()):
-            votes[k] += 1
-    return votes.most_common(1)[0][0] if votes else "latn"
+    for w, n in found.items():
+        for k in _BY_WORD[w]:
+            votes[k] += n
+    return min(votes, key=lambda k: (-votes[k], k)) if votes else "latn"
 
 
 def caseless(text: str) -> bool:
-    upper = sum(c.isupper() for c in text)
-    return upper > 0 and upper > 4 * sum(c.islower() for c in text)
+    if text.isascii() and text.upper() != text and text.lower() != text and sum(map(str.islower, text[:40])) > 8:
+        return False  # forty characters with so many small letters: only a long text could still be caseless
+    upper = sum(map(str.isupper, text))
+    return upper > 0 and upper > 4 * sum(map(str.islower, text))
+
+
+class _Words:
+    """The patterns of words, words before a period, and words after a sure boundary."""
+
+    def __init__(self, module, word: str, letter: str, **flags):
+        self.word = module.compile(word, **flags)
+        self.dotted = module.compile(f"((?>{word}))\\.(?!\\.)", **flags)
+        self.sure = module.compile(f"(?:^|[!?{LINE_ENDS}{FULL_MARKS}]){letter}*({word})", **flags)
+
+
+# The letters of words, as code points that the quicker engine of the standard library can tell; texts with
+# combining marks, which belong to their words, go through the other one.
+_CJK = "\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af"
+_PLAIN_LETTER = f"[^\\W\\d_{_CJK}]"
+_MARK = regex.compile(r"\p{M}")
+_PLAIN = _Words(re, f"\\d+(?:[.,]\\d+)*|{_PLAIN_LETTER}+(?:[.'’-]{_PLAIN_LETTER}+)*", "[\\W_]")
+_MARKED = _Words(regex, _WORD.pattern, "[^\\p{L}\\d]", flags=regex.V1)
 
 
 def observe(text: str, counts: Counter) -> None:
@@ -105,30 +132,33 @@ def observe(text: str, counts: Counter) -> None:
     text, _ = readable(text)
     if caseless(text):
         return
-    prev_end, sure = 0, True
-    words = list(_WORD.finditer(text))
-    for i, m in enumerate(words):
-        w = m[0].lower()
-        kind = w if not w[0].isdigit() else "#" if len(w) <= 2 else "##"  # "#": may be an ordinal
-        gap = text[prev_end : m.start()]
-        if i and any(c in gap for c in "!?" + LINE_ENDS + FULL_MARKS):
-            sure = True
+    p = _MARKED if not text.isascii() and _MARK.search(text) else _PLAIN
+    plain: Counter = Counter()
+    for w, n in Counter(p.word.findall(text)).items():
+        low = w.lower()
+        if w[0].isdigit():
+            plain["#" if len(w) <= 2 else "##"] += n  # "#": may be an ordinal
+        else:
+            plain[low] += n
+            counts["l" if w[0].islower() else "u", low, ""] += n
+    if not plain:
+        return
+    for w in p.sure.findall(text):
         if not w[0].isdigit():
-            counts["l" if m[0][0].islower() else "u", w, ""] += 1
-            if sure:
-                counts["s", w, ""] += 1
-        sure, prev_end = False, m.end()
-        if text[m.end() : m.end() + 1] != "." or text[m.end() + 1 : m.end() + 2] == ".":
-            counts["w", kind, ""] += 1
-            continue
-        rest = text[m.end() + 1 : m.end() + 40]
-        stripped = rest.lstrip(" \t")
-        nxt = words[i + 1] if i + 1 < len(words) and words[i + 1].start() < m.end() + 6 else None
+            counts["s", w.lower(), ""] += 1
+    for m in p.dotted.finditer(text) if "." in text else ():
+        w = m[1].lower()
+        kind = w if not w[0].isdigit() else "#" if len(w) <= 2 else "##"
+        plain[kind] -= 1
+        k = m.end()
+        stripped = text[k : k + 39].lstrip(" \t")
+        nxt = p.word.search(text, k, k + 5)
+        nxt = p.word.match(text, nxt.start()) if nxt else None
         if not stripped or stripped[0] in LINE_ENDS:
             what = "end"
         elif stripped[0] in ",;:":
             what = "in"
-        elif nxt is None or any(c in text[m.end() + 1 : nxt.start()] for c in LINE_ENDS):
+        elif nxt is None or any(c in text[k : nxt.start()] for c in LINE_ENDS):
             what = "end"
         elif nxt[0][0].isdigit():
             what = "digit"
@@ -139,6 +169,9 @@ def observe(text: str, counts: Counter) -> None:
         counts[".", kind, what] += 1
         if nxt is not None and what in ("lower", "upper"):
             counts["p" if what == "upper" else "q", kind, nxt[0].lower()] += 1
+    for kind, n in plain.items():
+        if n > 0:
+            counts["w", kind, ""] += n
 
 
 @dataclass
@@ -206,6 +239,11 @@ def _ends_here(text: str, m: Model, dot: int, begin: int, flat: bool) -> bool:
     return not (flat and (word, after) in m.inner)
 
 
+@functools.cache
+def _closing(close: str):
+    return regex.compile(f"[{regex.escape(close + LINE_ENDS)}]")
+
+
 def spans(text: str | None, model: Model = EMPTY) -> list[tuple[int, int]]:
     """(start, end) of the units, in code points of the text."""
     if not text:
@@ -226,16 +264,16 @@ def spans(text: str | None, model: Model = EMPTY) -> list[tuple[int, int]]:
             a += 1
         while b > a and read[b - 1].isspace():
             b -= 1
-        if any(c.isalnum() for c in read[a:b]):
+        if any(map(str.isalnum, read[a:b])):
             out.append((a, b))
         begin, close, opened = stop, "", False
 
     i = 0
     while True:
-        hit = _STOP.search(read, i) if not close else regex.search(f"[{regex.escape(close + LINE_ENDS)}]", read[i:])
+        hit = (_closing(close) if close else _STOP).search(read, i)
         if hit is None:
             break
-        p = hit.start() + (i if close else 0)
+        p = hit.start()
         c = read[p]
         if c in LINE_ENDS:
             end_unit(p)
@@ -405,10 +443,14 @@ def _cut(models):
 
 
 def sentences(df: DataFrame, keys: list[str], text: str, models: dict[str, Model] | None = None) -> DataFrame:
-    """keys, start_pos, end_pos: one row per sentence unit; models are learned from the same texts if none are given."""
+    """keys, start_pos, end_pos: one row per sentence unit of each distinct row; models are learned from the same texts if none are given.
+
+    Statistics count a repeated row as often as it stands there, which spares a shuffle of all texts.
+    """
     rows = df.select(*keys, F.col(text).alias("text")).where(F.col("text").isNotNull())
     if models is None:
         models = learn(rows.select("text"))
+    rows = rows.distinct()
     held = rows.sparkSession.sparkContext.broadcast(models)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start_pos bigint, end_pos bigint"
@@ -416,9 +458,9 @@ def sentences(df: DataFrame, keys: list[str], text: str, models: dict[str, Model
 
 
 def parts(df: DataFrame) -> DataFrame:
-    """(sample_id, generation_round, text_part, text): the source and every variant's translation, each text once."""
+    """(sample_id, generation_round, text_part, text): the source and every variant's translation."""
     variants = df.select("sample_id", "generation_round", F.explode("variants").alias("v"))
     rows = df.select("sample_id", "generation_round", F.lit("source_text").alias("text_part"), F.col("source_text").alias("text")).union(
         variants.select("sample_id", "generation_round", F.upper(F.trim("v.id")), F.col("v.translation"))
     )
-    return rows.where("text is not null and text_part is not null").distinct()
+    return rows.where("text is not null and text_part is not null")
