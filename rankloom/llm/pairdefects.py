@@ -5,8 +5,9 @@ other variants of the row (which render the same content). From the features noi
 vote on each defect: present, absent, or abstain where their evidence is missing. One label model per
 defect is fitted by expectation maximization on the counts of vote patterns, of which there are at most
 three to the power of the number of functions, however many rows there are. The posterior of each
-pattern labels all rows with it. A variant keeps every defect whose posterior exceeds the cutoff; the
-cutoff is the lowest one whose flagged set has an expected error within MAX_ERROR.
+pattern labels all rows with it. A variant keeps every defect whose posterior exceeds the cutoff: the
+lowest one whose flagged set has an expected error within MAX_ERROR, also if every flag is judged by a model
+that was fitted without its half of the records.
 
 A refusal shows in its wording, for which there are lists, and whatever its wording in its relation to the
 rest: sentences that neither the source nor the other variants account for, and responses that are
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +43,7 @@ ROUNDS = 200
 #: Starting values of the label model: sensitivity and false alarms of a function, share of defective rows.
 START = (0.7, 0.01, 0.02)
 
+_NO_LETTER = re.compile(r"[\W_]+")
 _HAN = regex.compile(r"\p{Han}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _LATIN = regex.compile(r"[a-z\u00df-\u024f]")
@@ -92,7 +95,7 @@ def numbers(text: str) -> set[str]:
 
 
 def letters(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _NO_LETTER.sub("", text.casefold())
 
 
 def grams(s: str, n: int) -> list[str]:
@@ -253,7 +256,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sample, round_, source, variants in zip(*(batch.column(i).to_pylist() for i in range(4))):
             known = [v for v in variants or [] if v is not None]
             for v, f in zip(known, votes(source, [v["translation"] for v in known])):
-                rows.append((sample, round_, (v["id"] or "").strip().upper() or None, *("".join("?01"[f[k] + 1] for k in FUNCTIONS[d]) for d in DEFECTS)))
+                rows.append((sample, round_, (v["id"] or "").strip().upper() or None, *(pattern(f, d) for d in DEFECTS)))
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.string()] * (1 + len(DEFECTS)))], names)
 
@@ -294,17 +297,36 @@ def fit(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     return post
 
 
-def cutoff(patterns: dict[str, int], post: dict[str, float], max_error: float = MAX_ERROR) -> float:
-    """The lowest cutoff, FLOOR at least, above which the expected share of wrong flags is within max_error."""
+def cutoff(patterns: dict[str, int], post: dict[str, float], judge: dict[str, float] | None = None, max_error: float = MAX_ERROR) -> float:
+    """The lowest cutoff, FLOOR at least, above which the expected share of wrong flags is within max_error.
+
+    The posteriors flag; those of judge, else the same ones, say how likely a flag is wrong.
+    """
+    judge = post if judge is None else judge
     best, n, wrong = 1.0, 0, 0.0
-    for p in sorted(patterns, key=lambda p: -post[p]):
-        if post[p] < FLOOR:
+    for p in sorted(patterns, key=lambda p: -post.get(p, 0.0)):
+        if post.get(p, 0.0) < FLOOR:
             break
         n += patterns[p]
-        wrong += patterns[p] * (1 - post[p])
+        wrong += patterns[p] * (1 - judge[p])
         if wrong <= max_error * n:
             best = post[p]
-    return max(FLOOR, best)
+    return max(FLOOR, best) if n else FLOOR
+
+
+def held_out(halves: list[dict[str, int]]) -> dict[str, float]:
+    """The posterior of every pattern by models that haven't seen its rows: of those of one half by the other half's model."""
+    every = dict.fromkeys(halves[0].keys() | halves[1].keys(), 0)  # patterns without a row get a posterior too
+    first, second = (fit(every | h) for h in halves)
+    out = {}
+    for p in every:
+        a, b = (h.get(p, 0) for h in halves)
+        out[p] = (a * second[p] + b * first[p]) / (a + b)
+    return out
+
+
+def pattern(f: dict[str, int], defect: str) -> str:
+    return "".join("?01"[f[k] + 1] for k in FUNCTIONS[defect])
 
 
 def voted(df: DataFrame) -> DataFrame:
@@ -319,13 +341,15 @@ def labelled(df: DataFrame) -> DataFrame:
     rows = cut(voted(df))
     long = rows.select("sample_id", "generation_round", "variant_id", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS])).alias("x"))
     long = long.select("sample_id", "generation_round", "variant_id", "x.*")
-    counts: dict[str, dict[str, int]] = {d: {} for d in DEFECTS}
-    for r in long.groupBy("defect", "pattern").count().collect():  # at most 3 ** 8 patterns per defect
-        counts[r.defect][r.pattern] = r["count"]
+    halves: dict[str, list[dict[str, int]]] = {d: [{}, {}] for d in DEFECTS}
+    half = F.pmod(F.xxhash64("sample_id"), F.lit(2)).cast("int").alias("half")
+    for r in long.groupBy("defect", half, "pattern").count().collect():  # at most 3 ** 8 patterns per defect and half
+        halves[r.defect][r.half][r.pattern] = r["count"]
     keep = []
     for d in DEFECTS:
-        post = fit(counts[d])
-        least = cutoff(counts[d], post)
+        counts = dict(Counter(halves[d][0]) + Counter(halves[d][1]))
+        post = fit(counts)
+        least = max(cutoff(counts, post), cutoff(counts, post, held_out(halves[d])))
         keep += [(d, p, x) for p, x in post.items() if x >= least]
     kept = df.sparkSession.createDataFrame(keep, "defect string, pattern string, posterior double")
     return long.join(F.broadcast(kept), ["defect", "pattern"]).select("sample_id", "generation_round", "variant_id", "defect", "posterior")

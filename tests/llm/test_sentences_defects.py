@@ -110,6 +110,41 @@ def test_injected_defects_are_found():
         assert hits >= 0.95 * sum(g == d for g in got), d
 
 
+def test_refusals_of_unseen_wording():
+    rng = random.Random(11)
+    known = ["抱歉，我无法翻译这段文字。", "由于内容限制，此段不予翻译。感谢理解。", "I'm sorry, but I can't assist with that request."]
+    unseen = ["这件事我做不了，换个人吧。", "Nope, not doing this one.", "I'd rather not touch that paragraph.", "此内容超出本人职责。"]
+    foreign = ["Les revenus de la société ont progressé de 12,5 pour cent en mars, et une usine ouvrira bientôt près de la ville voisine.", "The harbour was calm while 700 gulls circled over wooden boats that nobody had painted since the autumn of the great storm."]
+    counts, seen = Counter(), []
+    for n, (src, texts) in enumerate(good_rows(rng, 400)):
+        kind = None
+        if n % 4 == 0:
+            kind, pool = [("known", known), ("unseen", unseen), ("foreign", foreign)][n // 4 % 3]
+            at = rng.randrange(6)
+            texts[at] = pool[n // 12 % len(pool)]
+        for i, f in enumerate(pairdefects.votes(src, texts)):
+            p = pairdefects.pattern(f, "refusal")
+            counts[p] += 1
+            seen.append((p, kind if kind and i == at else None))
+    post = pairdefects.fit(dict(counts))
+    least = pairdefects.cutoff(counts, post)
+    for kind, share in (("known", 0.9), ("unseen", 0.9)):
+        hits = [post[p] >= least for p, k in seen if k == kind]
+        assert sum(hits) >= share * len(hits), kind
+    assert sum(post[p] >= least for p, k in seen if k in (None, "foreign")) <= 0.01 * len(seen)
+
+
+def test_cutoffs_hold_on_the_other_half():
+    clear = {"111": 40, "000": 900, "100": 8}
+    judge = pairdefects.held_out([clear, clear | {"110": 1}])
+    assert judge["111"] > 0.99 and judge["000"] < 0.01 and 0 < judge["110"] < 1
+    flags, doubt = {"11": 0.99, "10": 0.92, "00": 0.0}, {"11": 0.99, "10": 0.1, "00": 0.0}
+    counts = {"11": 500, "10": 5, "00": 900}
+    assert pairdefects.cutoff(counts, flags) == 0.92
+    assert pairdefects.cutoff(counts | {"10": 50}, flags, doubt) == 0.99
+    assert pairdefects.held_out([{}, {}]) == {} and pairdefects.cutoff({}, {}, {}) == pairdefects.FLOOR
+
+
 def test_defect_table(spark):
     v = "array<struct<id:string,feature_target:string,translation:string>>"
     src, texts = next(good_rows(random.Random(1), 1))
