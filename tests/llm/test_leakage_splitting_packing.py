@@ -37,12 +37,26 @@ def test_leaks_equal_brute_force(spark):
     assert got == brute(docs, items)
 
 
-def test_items_in_several_passes(spark, monkeypatch):
+def test_any_number_of_items_by_shuffled_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    shared = " ".join(word() for _ in range(12))
+    items = {k: " ".join(word() for _ in range(n)) for k, n in enumerate([2, 3, 6, 9, 14, 20, 40, 90])} | {20: f"{shared} one end", 21: f"{shared} another end", 90: "", 91: "x"}
+    docs = {}
+    for d in range(60):
+        body = [word() for _ in range(50)]
+        item = items[rng.choice([*range(8), 20])]
+        size = rng.randrange(35, 101) * len(item) // 100
+        at = rng.randrange(0, len(item) - size + 1)
+        docs[d] = " ".join(body[:25]) + " " + item[at : at + size].upper() + " " + " ".join(body[25:])
+    df = spark.createDataFrame([*docs.items(), (100, None), (101, "")], "doc_id bigint, text string")
+    it = spark.createDataFrame([*items.items(), (92, None), (5, items[5])], "item_id bigint, text string")
+    search = lambda: {tuple(r) for r in leakage.leaked(df, it, "doc_id", "text", "item_id", "text").collect()}
+    whole = search()
     monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 2)
-    items = {k: f"item number {k} speaks of a subject of its own {'abcdefg'[k] * 9}" for k in range(5)}
-    df = spark.createDataFrame([(1, " ".join(items.values()))], "doc_id bigint, text string")
-    it = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    assert {r.item_id for r in leakage.leaked(df, it, "doc_id", "text", "item_id", "text").collect()} == set(items)
+    split = search()
+    assert {r[:2] for r in split} == brute(docs, items) and {r[:4] for r in split} == {r[:4] for r in whole}
+    assert leakage.leaked(df.limit(0), it, "doc_id", "text", "item_id", "text").count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaked(df, none, "doc_id", "text", "item_id", "text").count() == 0
 
