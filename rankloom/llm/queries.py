@@ -113,6 +113,15 @@ def _letters_sql(c: str) -> str:
     return f"regexp_replace(lower({_form_sql(c)}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+# documents linked by their five-character runs, and what is reached by links
+_LINKED = f"""WITH RECURSIVE f AS (SELECT doc_id, {_letters_sql('text')} AS t, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_transform(generate_series(1, length(t) - 4), lambda i: substr(t, i, 5)) END) AS x FROM f WHERE t <> ''),
+      n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+      both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+      link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)),
+      edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+      reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)"""
+
 # rankings, each (sample, judge, rep) once, counted by sample, judge and order
 _KNOWN = "list_filter({0}, lambda x: x IN ('A','B','C','D','E','F'))"
 _ORDER = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), '')"
@@ -170,14 +179,12 @@ ORACLE: dict[str, str] = {
       UNION SELECT DISTINCT 'ec_400_with_candidates', sample_id, {_mapped_sql('source_text')} FROM ec_400_with_candidates WHERE source_text IS NOT NULL)
       SELECT DISTINCT tab, k, min((length(m), k)) OVER (PARTITION BY tab, nfc_normalize(m))[2] AS canonical_key, nfc_normalize(m) AS form FROM v WHERE k IS NOT NULL""",
     # every pair of texts that share a run, so fit for small tables only
-    "p5_found": f"""WITH RECURSIVE f AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
-      r AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_transform(generate_series(1, length(t) - 4), lambda i: substr(t, i, 5)) END) AS x FROM f WHERE t <> ''),
-      n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
-      both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-      link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)),
-      edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-      reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
-      SELECT DISTINCT a AS doc_a, b AS doc_b FROM reach WHERE a < b""",
+    "p5_found": f"""{_LINKED} SELECT DISTINCT a AS doc_a, b AS doc_b FROM reach WHERE a < b""",
+    # texts without letters or digits have no links, those of one form are one group
+    "p5_groups": f"""{_LINKED}, near AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS group_id FROM f LEFT JOIN reach ON a = doc_id WHERE t <> '' GROUP BY doc_id),
+      blank AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS group_id FROM f WHERE t = ''),
+      degree AS (SELECT e.a AS doc_id, count(DISTINCT y.t) AS n FROM edge e JOIN f x ON x.doc_id = e.a JOIN f y ON y.doc_id = e.b WHERE x.t <> y.t GROUP BY e.a)
+      SELECT doc_id, group_id, coalesce(n, 0) AS n_links FROM (SELECT * FROM near UNION ALL SELECT * FROM blank) LEFT JOIN degree USING (doc_id)""",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_letters_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
       i AS (SELECT item_id, {_letters_sql('text')} AS t FROM held_out_items WHERE text IS NOT NULL),
       h AS (SELECT item_id, t, (length(t) + 1) // 2 AS k FROM i WHERE t <> ''),
