@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +38,17 @@ def stratified(df: DataFrame, strata: list[str], need: int, order: Column) -> Da
     return df.withColumn("place", place).where(F.col("place") <= need)
 
 
+def load(spec: str) -> Callable:
+    """The function named by "package.module:function" or "/path/to/file.py:function", such as a sampler of one's own."""
+    where, _, name = spec.rpartition(":")
+    if not where.endswith(".py"):
+        return getattr(importlib.import_module(where), name)
+    found = importlib.util.spec_from_file_location(os.path.basename(where)[:-3], where)
+    module = importlib.util.module_from_spec(found)
+    found.loader.exec_module(module)
+    return getattr(module, name)
+
+
 def hash_order(seed: int, *columns: str) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
 
@@ -41,7 +57,8 @@ def disjoint_first(df: DataFrame, order: Column, book: str, start: str, end: str
     """The rows a pass in the given order would take if it skips every row that overlaps one already taken.
 
     Rounds: a row with no earlier undecided neighbour is taken, its neighbours are dropped. Each round
-    decides all local firsts at once, so rounds follow the longest chain of overlaps, not the rows.
+    decides all local firsts at once, so rounds follow the longest chain of overlaps, not the rows. Raises if
+    max_rounds rounds leave rows undecided.
     """
     rows = df.withColumn("_o", F.struct(order.alias("h"), F.col("id").alias("i")))
     pairs = overlapping(df, df, book, start, end).where("left_id <> right_id")
@@ -60,4 +77,6 @@ def disjoint_first(df: DataFrame, order: Column, book: str, start: str, end: str
         if not open_.take(1):
             break
         edges = cut(edges.join(gone.select(F.col("id").alias("left_id")), "left_id", "left_anti").join(gone.select(F.col("id").alias("right_id")), "right_id", "left_anti"))
+    else:
+        raise RuntimeError(f"rows are undecided after {max_rounds} rounds")
     return df.join(taken, "id", "left_semi")

@@ -575,10 +575,15 @@ def q_stratified_quota(spark, d):
     return sampling.stratified(s.join(used, "id", "left_anti"), ["domain_subtype", "difficulty"], 8, order).select("id", "domain_subtype", "difficulty", "place")
 
 
-@query()
+@query("WITH RECURSIVE " + SPANS + """, o AS (SELECT *, row_number() OVER (ORDER BY (CAST(substr(id, 3) AS BIGINT) * 7919) % 1009, id) AS n FROM spans),
+  greedy AS (SELECT 0::BIGINT AS n, [{'id': '', 'book': '', 's': 0, 'e': -1}] AS taken
+    UNION ALL SELECT o.n, CASE WHEN len(list_filter(taken, lambda x: x.book = o.book AND x.s <= o.e AND o.s <= x.e AND x.s <= x.e AND o.s <= o.e)) = 0 THEN list_append(taken, {'id': o.id, 'book': o.book, 's': o.s, 'e': o.e}) ELSE taken END
+    FROM greedy JOIN o ON o.n = greedy.n + 1)
+  SELECT x.id AS id, x.book AS book, x.s AS s, x.e AS e FROM (SELECT unnest(taken) AS x FROM (SELECT taken FROM greedy ORDER BY n DESC LIMIT 1)) WHERE x.id <> ''""")
 def q_disjoint_sample(spark, d):
-    """The samples a greedy pass in hash order takes so that no two spans of a book overlap."""
-    return sampling.disjoint_first(_spans(spark, d).dropDuplicates(["id"]), sampling.hash_order(42, "id"), "book", "s", "e").select("id", "book", "s", "e")
+    """The samples a greedy pass in a seeded order takes so that no two spans of a book overlap."""
+    order = F.pmod(F.substring("id", 3, 8).cast("bigint") * 7919, F.lit(1009))
+    return sampling.disjoint_first(_spans(spark, d).dropDuplicates(["id"]), order, "book", "s", "e").select("id", "book", "s", "e")
 
 
 @query("WITH " + VARIANTS + ", w AS (SELECT sample_id, generation_round, list_transform(variants, lambda v: upper(trim(v.id))) AS ids, list_transform(list_filter(variants, lambda v: coalesce(" + BLANKLESS.format(c="v.translation") + ", '') = ''), lambda v: v.id) AS blank FROM ec_400_with_candidates) SELECT DISTINCT sample_id, generation_round, array_to_string(list_sort(list_filter(['A','B','C','D','E','F'], lambda x: NOT list_contains(ids, x))), ',') AS missing, array_to_string(list_sort(list_filter(ids, lambda x: NOT list_contains(['A','B','C','D','E','F'], x))), ',') AS extra, array_to_string(list_sort(blank), ',') AS blank FROM w")

@@ -264,3 +264,11 @@ def q_stream_json_lines(spark, d):
     run = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "lang")
+
+
+@query("SELECT * FROM (SELECT 3 + row_number() OVER (ORDER BY r_regionkey) AS line, '| ' || r_regionkey || ' | ' || r_name || ' |' AS text FROM region) UNION ALL SELECT * FROM (VALUES (1::BIGINT, '# Regions'), (2, '| key | name |'), (3, '|-|-|')) t(line, text)")
+def q_markdown_report(spark, d):
+    at = f"{_folder(spark)}/report.md"
+    rows = table(spark, d, "region").orderBy("r_regionkey").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    writers.write_markdown(rows, at, "Regions")
+    return readers.read_lines_raw(spark, at).select(F.col("line_no").alias("line"), F.col("line").alias("text"))

@@ -186,6 +186,15 @@ def q_seeded_order(spark, d):
     return screening.numbered(n, ["h", "n_nationkey"]).select(F.col("row_no").alias("place"), "n_nationkey")
 
 
+@query("SELECT row_number() OVER (ORDER BY n_name DESC) AS place, n_name FROM nation QUALIFY place <= 7")
+def q_named_sampler(spark, d):
+    """A sample by a function that is named in the settings."""
+    pick = sampling.load("rankloom.operators.sampling:stratified")
+    rows = table(spark, d, "nation").withColumn("id", F.col("n_nationkey")).withColumn("all", F.lit(1))
+    names = screening.numbered(rows.select("n_name"), ["n_name"]).select("n_name", (-F.col("row_no")).alias("back"))
+    return pick(rows.join(names, "n_name"), ["all"], 7, F.col("back")).select(F.col("place").cast("bigint").alias("place"), "n_name")
+
+
 @query(MAJORITY + ", s AS (SELECT sample_id, n AS n_judges, round((" + " + ".join(f"least({a}{b}, n - {a}{b}) / n" for a, b in PAIRS) + f") / {len(PAIRS)}, 6) AS disagreement FROM maj) SELECT * FROM s WHERE disagreement >= 0.3")
 def q_contested(spark, d):
     """Samples whose judges disagree on three tenths of the pairs or more."""

@@ -90,6 +90,23 @@ def write_report(spark: SparkSession, rows: list[dict], path: str) -> None:
     _written(spark, path, [json.dumps(rows, ensure_ascii=False, indent=2) + "\n"])
 
 
+def write_markdown(df: DataFrame, path: str, title: str, notes: list[str] = ()) -> int:
+    """A report for people: a heading, notes, and df as a table; gives the number of rows, which pass through the driver one by one."""
+    n = 0
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+
+    def lines():
+        nonlocal n
+        yield f"# {title}\n\n" + "".join(f"- {x}\n" for x in notes) + ("\n" if notes else "")
+        yield "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns) + "\n"
+        for r in df.toLocalIterator():
+            n += 1
+            yield "| " + " | ".join(map(cell, r)) + " |\n"
+
+    _written(df.sparkSession, path, lines())
+    return n
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     _written(spark, path, [text])
 

@@ -140,3 +140,23 @@ def test_small_text_functions(spark):
     df = spark.createDataFrame([("a<b> & 'c'", None)], "t string, n string")
     r = df.select(X.escape_html(F.col("t")).alias("e"), X.escape_html(F.col("n")).alias("z"), X.fill_template("{t}-{n}", t=F.col("t"), n=F.col("n")).alias("p"), X.utc_stamp(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("s")).first()
     assert (r.e, r.z, r.p, r.s) == ("a&lt;b&gt; &amp; &#39;c&#39;", None, "a<b> & 'c'-", "2026-01-02T03:04:05.000000+00:00")
+
+
+def test_named_functions_and_reports(spark, tmp_path):
+    from rankloom.operators import sampling
+
+    (tmp_path / "own.py").write_text("def pick(x):\n    return x + 1\n")
+    assert sampling.load(f"{tmp_path}/own.py:pick")(1) == 2 and sampling.load("math:sqrt")(4) == 2
+    df = spark.createDataFrame([("a|b", None), ("c\nd", 1)], "x string, y int")
+    assert writers.write_markdown(df.coalesce(1), f"file://{tmp_path}/r.md", "T", ["n"]) == 2
+    assert (tmp_path / "r.md").read_text() == "# T\n\n- n\n\n| x | y |\n|-|-|\n| a\\|b |  |\n| c d | 1 |\n"
+
+
+def test_undecided_samples_raise(spark):
+    from rankloom.operators import sampling
+
+    df = spark.createDataFrame([(str(i), "b", i, i + 1) for i in range(6)], "id string, book string, s int, e int")
+    got = {r.id for r in sampling.disjoint_first(df, F.col("s"), "book", "s", "e").collect()}
+    assert got == {"0", "2", "4"}
+    with pytest.raises(RuntimeError, match="undecided"):
+        sampling.disjoint_first(df, F.col("s"), "book", "s", "e", max_rounds=1)
