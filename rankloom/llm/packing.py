@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +104,11 @@ def _pack(sizes: list[int], sources: list, clusters: list, capacity: int, room:
     return out
 
 
-def _items(capacity: int, ranks: str):
+def _items(capacity: int, ranks: str, held: Broadcast):
     names = ["doc", "piece_no", "start_pos", "end_pos", "n_tokens", "source", "cluster"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.install(ranks, held.value)
         for batch in batches:
             rows = []
             for doc, text, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -132,7 +134,7 @@ def fill_containers(
     """
     rows = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"))
     rows = rows.where("doc is not null and t is not null and t <> ''")
-    items = rows.mapInArrow(_items(capacity, ranks), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, source string, cluster long")
+    items = rows.mapInArrow(_items(capacity, ranks, tokens.held(df.sparkSession, ranks)), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long, source string, cluster long")
     if groups is not None:
         items = items.join(groups.select("doc", "group_id"), "doc", "left")
         items = items.withColumn("cluster", F.when(F.col("group_id").isNotNull(), F.xxhash64("group_id", "piece_no")).otherwise(F.col("cluster"))).drop("group_id")

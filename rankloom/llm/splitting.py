@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,10 +111,11 @@ def split(text: str, limit: int, overlap: int, ranks: str = tokens.RANKS) -> lis
     raise ValueError("no cuts keep all pieces within the limit")
 
 
-def _split(limit: int, overlap: int, ranks: str):
+def _split(limit: int, overlap: int, ranks: str, held: Broadcast):
     schema = ["doc", "piece_no", "start_pos", "end_pos", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.install(ranks, held.value)
         for batch in batches:
             rows = [
                 (doc, no, *piece)
@@ -142,4 +144,4 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int
     A byte-level tokenizer makes no more tokens than bytes, so texts of fewer bytes aren't tokenized.
     """
     rows = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).where((F.octet_length("t") > limit) & F.col("doc").isNotNull())
-    return rows.mapInArrow(_split(limit, overlap, ranks), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long")
+    return rows.mapInArrow(_split(limit, overlap, ranks, tokens.held(df.sparkSession, ranks)), "doc long, piece_no long, start_pos long, end_pos long, n_tokens long")

@@ -86,6 +86,14 @@ def test_pieces(name, overlap):
     assert "".join(text[max(a, p) : b] for (a, b, _), p in zip(got, [0] + [e for _, e, _ in got])) == text
 
 
+def test_installed_ranks_need_no_file(spark):
+    with open(tokens.RANKS, "rb") as f:
+        contents = f.read()
+    tokens.install("/nowhere/ranks", contents)
+    assert tokens.count("A sentence of words.", "/nowhere/ranks") == tokens.count("A sentence of words.")
+    assert tokens.held(spark, tokens.RANKS).value == contents
+
+
 def test_cuts_fall_on_sentences():
     text = TEXTS["prose"]
     for _, end, _ in splitting.split(text, 300, 32)[:-1]:
