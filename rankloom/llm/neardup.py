@@ -42,17 +42,17 @@ from .textform import canonical, fold_codes
 WIDTH = 5
 THRESHOLD = 0.7
 #: First-level partitions of a band, second-level partitions of each, and features of the largest sets in one of these.
-GROUPS = 64
+GROUPS = 112
 SECOND = 2
-PER_PART = 4.0
-#: Features of an enumerated subset. Chance agreement of unrelated texts falls about fivefold with each feature more.
-LEAST, MOST = 4, 7
+PER_PART = 5.0
+#: Features of an enumerated subset, one less at least in the smallest band. Chance agreement of unrelated texts falls about fivefold with each feature more.
+LEAST, MOST = 5, 9
 #: Independent cuts of a small band, at most.
-TURNS = 16
+TURNS = 24
 #: Largest size of the bands whose features are signatures themselves.
 TINY = 16
 #: Signatures that one bucket is meant to hold.
-PER_BUCKET = 2_000_000
+PER_BUCKET = 250_000
 #: Bytes of a signature within its bucket, where two different ones of a full bucket agree by chance.
 SIG_BYTES = 5
 
@@ -93,7 +93,7 @@ def runs(codes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return h[np.r_[True, h[1:] != h[:-1]]]
 
 
-_SUBSETS = np.array([[m >> i & 1 for m in range(1, 1 << SECOND)] for i in range(SECOND)], np.uint64)  # one column per subset
+_SUBSETS = np.array([[m >> i & 1 for m in range(1, 1 << SECOND)] for i in range(SECOND)], np.int64)  # one column per subset
 
 
 def signatures(features: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -102,6 +102,8 @@ def signatures(features: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray
     if not n:
         return np.zeros(0, np.uint64)
     whole = GROUPS * SECOND * PER_PART
+    own = mix(features ^ _K1)  # contents are sums of these, in halves that stay exact as floats
+    low, high = (own & np.uint64(0xFFFFFFFF)).astype(np.float64), (own >> np.uint64(32)).astype(np.float64)
     out = []
     for band in range(n.bit_length() - 1, int(n / threshold + 1e-9).bit_length()):
         top = 2 << band
@@ -111,19 +113,19 @@ def signatures(features: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray
         keep = min(1.0, whole / top)
         groups = GROUPS if keep < 1 else max(1, round(top / (SECOND * PER_PART)))
         cells = groups * SECOND
-        borders = (np.arange(1, cells) * (keep / cells * 2.0**64)).astype(np.uint64)
         for turn in range(1 if keep < 1 else min(TURNS, round(whole / top))):
-            # partitions follow the order of a hash, so each is a slice of the sorted features
-            f = mix(features + np.uint64(int(_K3) * (1 + band % 2 + 2 * turn) % 2**64))
-            f = np.sort(f[f < np.uint64(keep * 2.0**64)] if keep < 1 else f)
-            edges = np.concatenate(([0], np.searchsorted(f, borders), [len(f)]))
-            total = np.zeros(len(f) + 1, np.uint64)
-            np.cumsum(mix(f ^ _K1), out=total[1:])
-            content = (total[edges[1:]] - total[edges[:-1]]).reshape(groups, SECOND) @ _SUBSETS
-            held = np.diff(edges).astype(np.uint64).reshape(groups, SECOND) @ _SUBSETS
-            group, subset = np.nonzero((held >= LEAST) & (held <= MOST))
-            place = (group * len(_SUBSETS.T) + subset + 1).astype(np.uint64)
-            out.append(mix(content[group, subset] + np.uint64(band * 1_000_003 + turn * 7919) + place * _K2))
+            # partitions are equal slices of a hash
+            cell = (mix(features + np.uint64(int(_K3) * (1 + band % 2 + 2 * turn) % 2**64)) * (cells / keep / 2.0**64)).astype(np.int64)
+            lo, hi = low, high
+            if keep < 1:
+                use = np.flatnonzero(cell < cells)
+                cell, lo, hi = cell[use], low[use], high[use]
+            held = np.bincount(cell, minlength=cells)[:cells].reshape(groups, SECOND) @ _SUBSETS
+            group, subset = np.nonzero((held >= min(LEAST, top // 8)) & (held <= MOST))
+            lo, hi = (np.bincount(cell, x, cells)[:cells].astype(np.uint64).reshape(groups, SECOND) @ _SUBSETS.astype(np.uint64) for x in (lo, hi))
+            content = lo[group, subset] + (hi[group, subset] << np.uint64(32))
+            place = (group * _SUBSETS.shape[1] + subset + 1).astype(np.uint64)
+            out.append(mix(content + np.uint64(band * 1_000_003 + turn * 7919) + place * _K2))
     return np.concatenate(out)
 
 
@@ -399,13 +401,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     docs = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     members, found, inner = links(docs, threshold)
     comp = connected_components(found, "a", "b").select(F.col("node").alias("h"), "component")
-    rows = members.distinct().join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    first = rows.groupBy("component").agg(F.min("doc").alias("group_id"))
-    rows = rows.join(first, "component")
-    if not counted:
-        return rows.select("doc", "group_id")
-    degree = degrees(docs, members, found, inner, comp, threshold)
-    return rows.join(degree, "h", "left").select("doc", "group_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    first = members.groupBy("h").agg(F.min("doc").alias("first"))
+    linked = comp.join(first, "h")
+    linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("group_id")), "component").select("h", "group_id")
+    if counted:
+        linked = linked.join(degrees(docs, members, found, inner, comp, threshold), "h", "left")
+    rows = members.distinct().join(first, "h").join(linked, "h", "left")
+    out = rows.select("doc", F.coalesce("group_id", "first").alias("group_id"), *([F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")] if counted else []))
+    return out
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:
