@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -44,9 +45,10 @@ ROUNDS = 200
 START = (0.7, 0.01, 0.02)
 
 _NO_LETTER = re.compile(r"[\W_]+")
-_HAN = regex.compile(r"\p{Han}")
-_KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
-_LATIN = regex.compile(r"[a-z\u00df-\u024f]")
+# Runs of Han characters, by the blocks of the script; of kana; of small Latin letters.
+_HAN = re.compile("[\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9\U00020000-\U000323af]+")
+_KANA = re.compile("[\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fd-\u30ff\u31f0-\u31ff\uff66-\uff6f\uff71-\uff9d]+")
+_LATIN = re.compile("[a-z\u00df-\u024f]+")
 _DIGIT = regex.compile(r"\p{Nd}")
 _QUOTED = regex.compile(r"“[^”]*(?:”|$)|「[^」]*(?:」|$)|\"[^\"]*(?:\"|$)|«[^»]*(?:»|$)|„[^“”]*(?:[“”]|$)")
 _LEAD = regex.compile(r"^\s*(?:[\[【(（][^\]】)）]{1,24}[\]】)）]\s*[:：]?|[^:：\n\d]{1,24}[:：])\s*|^[^\n\d]{1,24}\n")
@@ -99,7 +101,7 @@ def letters(text: str) -> str:
 
 
 def grams(s: str, n: int) -> list[str]:
-    return [s[i : i + n] for i in range(len(s) - n + 1)]
+    return list(map("".join, zip(*(s[i:] for i in range(n)))))
 
 
 def _unquoted(text: str) -> str:
@@ -107,7 +109,8 @@ def _unquoted(text: str) -> str:
 
 
 def _count(pattern, s: str) -> int:
-    return len(pattern.findall(s))
+    """How many characters of s belong to the runs that the pattern finds."""
+    return sum(map(len, pattern.findall(s)))
 
 
 class _Text:
@@ -120,7 +123,9 @@ class _Text:
         self.n = len(self.letters) - sum(map(str.isdigit, self.letters))
         self.han, self.kana, self.latin = _count(_HAN, self.letters), _count(_KANA, self.letters), _count(_LATIN, self.letters)
         self.chinese = self.n > 0 and self.han > 0.5 * self.n and self.kana <= 0.03 * self.n
-        self.pairs = set(grams(self.letters, 2)) if self.chinese else set()
+        pairs = grams(self.letters, 2) if self.chinese else []
+        self.pairs = frozenset(pairs)
+        self.tail = frozenset(pairs[-max(6, len(self.letters) // 6) :])
 
 
 def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
@@ -135,11 +140,16 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
     all_numbers = numbers(" ".join(timeless))
     t = [_Text(x) for x in texts]
     able = [v.chinese and v.n >= 0.07 * len(src_letters) for v in t]  # variants that can speak for the content
-    held = Counter(g for v, ok in zip(t, able) if ok for g in v.pairs)
+    held = Counter(chain.from_iterable(v.pairs for v, ok in zip(t, able) if ok))
+    by_count: list[set[str]] = [set() for _ in range(len(t) + 2)]  # grams of exactly so many variants
+    for g, n in held.items():
+        by_count[n].add(g)
+    least = [set().union(*by_count[n:]) for n in range(len(t) + 2)]  # of at least so many
     out = []
     for i, v in enumerate(t):
         peers = [p for j, p in enumerate(t) if j != i and able[j]]
         mine_too = v.pairs if able[i] else frozenset()  # grams of held that are the variant's own count one less
+        several = least[2] if able[i] else least[1]  # grams of other variants, but for those that only a cut of this one makes
         known = lambda g: held[g] - (g in mine_too) > 0  # noqa: B023, E731
         f: dict[str, int] = {}
         blank = not v.letters
@@ -166,7 +176,9 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
             if not own:
                 continue
             han = c > 0.5 * len(w)
-            share = sum(map(known, own)) / len(own) if han else sum(map(src_grams.__contains__, own)) / len(own)
+            share = sum(map((several if han else src_grams).__contains__, own)) / len(own)
+            if han and share < 0.6:
+                share = sum(map(known, own)) / len(own)
             if han and peers and share >= 0.6 or not han and src_grams and share >= 0.4:
                 rendered = True
                 continue
@@ -214,12 +226,15 @@ def votes(source: str | None, texts: list[str | None]) -> list[dict[str, int]]:
         mine = numbers(v.text)
         f["t_number"] = int(not (last_numbers & mine)) if last_numbers and len(all_numbers) > 0 else -1
         if len(peers) >= 2:
-            most = max(2, 0.6 * len(peers))
-            common = [g for g, n in held.items() if n - (g in mine_too) >= most]
-            got = sum(map(v.pairs.__contains__, common))
-            f["t_recall"] = int(got < 0.85 * len(common)) if common else -1
-            tail = {g for p in peers for g in grams(p.letters, 2)[-max(6, len(p.letters) // 6) :] if held[g] - (g in mine_too) >= most}
-            f["t_tail"] = int(sum(map(v.pairs.__contains__, tail)) < 0.6 * len(tail)) if tail else -1
+            most = max(2, math.ceil(0.6 * len(peers)))  # of the others; the variant's own grams count one more
+            only_others = by_count[most] - mine_too if able[i] else least[most]
+            both = least[most + 1] if able[i] else set()
+            total = len(both) + len(only_others)
+            got = len(v.pairs & both) + len(v.pairs & only_others)
+            f["t_recall"] = int(got < 0.85 * total) if total else -1
+            tail = frozenset().union(*(p.tail for p in peers))
+            tail = (tail & both) | (tail & only_others)
+            f["t_tail"] = int(len(tail & v.pairs) < 0.6 * len(tail)) if tail else -1
             sizes = sorted(len(p.letters) for p in peers)
             f["t_short"] = int(len(v.letters) < 0.78 * sizes[len(sizes) // 2])
         else:

@@ -25,8 +25,7 @@ BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u
 @functools.cache
 def invisible() -> str:
     """All default-ignorable characters: zero-width ones, soft hyphens, direction marks, fillers, variation selectors, tags."""
-    test = regex.compile(r"\p{Default_Ignorable_Code_Point}")
-    return "".join(c for cp in [*range(0xD800), *range(0xF900, 0x110000)] if test.match(c := chr(cp)))
+    return "".join(regex.findall(r"\p{Default_Ignorable_Code_Point}", "".join(map(chr, [*range(0xD800), *range(0xF900, 0x110000)]))))
 
 
 def compatibility_pairs() -> dict[str, str]:
@@ -91,19 +90,19 @@ def _fold_table() -> np.ndarray:
     """Code point -> folded letter or digit; 0 drops it; -1 needs the slow path (it maps to several)."""
     lut = np.zeros(sys.maxunicode + 1, np.int32)
     table = _canonical_table()
+    # ideographs and Hangul syllables fold to themselves; planes 4 and up hold no letters
+    for lo, hi in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2F800), (0x30000, 0x40000)):
+        known = np.fromiter(map(str.isalnum, map(chr, range(lo, hi))), bool, hi - lo)
+        lut[lo:hi] = np.where(known, np.arange(lo, hi), 0)
+    rest = [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x30000)]
     # what composes with a letter before it needs the slow path: vowel signs and jamo, besides combining marks
-    joins = {p[-1] for cp in range(sys.maxunicode + 1) if len(p := unicodedata.decomposition(chr(cp)).split()) == 2 and p[0][0] != "<"}
+    joins = {p[-1] for cp in rest if len(p := unicodedata.decomposition(chr(cp)).split()) == 2 and p[0][0] != "<"}
     second = {int(x, 16) for x in joins} | set(range(0x1160, 0x1200))
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF or 0xE000 <= cp <= 0xF8FF or cp >= 0xF0000:
-            continue
+    for cp in rest:
         ch = chr(cp)
         if cp in second or unicodedata.combining(ch):
             lut[cp] = -1
             continue
-        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp <= 0x3FFFF:
-            lut[cp] = cp if ch.isalnum() else 0
-            continue
         to = "".join(c for c in unicodedata.normalize("NFC", table.get(cp, ch)).casefold() if c.isalnum())
         lut[cp] = ord(to) if len(to) == 1 else 0 if not to else -1
     return lut
