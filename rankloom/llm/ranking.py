@@ -174,13 +174,13 @@ def global_ranking(df: DataFrame) -> DataFrame:
 def stronger_pairs(df: DataFrame, gap: float = 0.75) -> DataFrame:
     """(system_a, system_b, stronger) for every pair of systems whose log strengths differ by more than gap.
 
-    Strengths fall into cells of width gap. A system is listed once for each later cell that is taken, and
-    meets the systems of that cell by an equi-join; only those of the next cell can be too close.
+    Strengths fall into cells of width gap. A system is listed once for each later cell, of which there are as
+    many as the range of strengths has gaps, and meets the systems of that cell by an equi-join; only those of
+    the next cell can be too close.
     """
     s = strengths(win_counts(verdicts(df))).withColumn("cell", F.floor(F.col("log_strength") / gap))
-    taken = s.agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # as many as the range of strengths has cells
-    weak = s.join(F.broadcast(taken)).select(
-        F.col("system").alias("weak"), F.col("log_strength").alias("low"), F.explode(F.filter("cells", lambda c: c > F.col("cell"))).alias("cell")
-    )
+    last = s.agg(F.max("cell")).first()[0]
+    later = F.explode(F.sequence(F.col("cell") + 1, F.lit(last or 0)))
+    weak = s.where(F.col("cell") < F.lit(last or 0)).select(F.col("system").alias("weak"), F.col("log_strength").alias("low"), later.alias("cell"))
     pairs = weak.join(s, "cell").where(F.col("log_strength") - F.col("low") > gap)
     return pairs.select(F.least("weak", "system").alias("system_a"), F.greatest("weak", "system").alias("system_b"), F.col("system").alias("stronger"))
