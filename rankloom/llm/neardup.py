@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, drop_stored, stored
 from .textform import canonical, fold_codes
 
 WIDTH = 5
@@ -275,11 +275,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of those pairs whose exact similarity reaches the threshold."""
+    """(a, b) of those pairs whose exact similarity reaches the threshold; a document that stands there twice has its text twice."""
     left = texts.select(F.col("h").alias("a"), F.col("folded").alias("s"))
     right = texts.select(F.col("h").alias("b"), F.col("folded").alias("t"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    return rows.mapInArrow(_similar(threshold), "a long, b long, near boolean").where("near").select("a", "b")
+    return rows.mapInArrow(_similar(threshold), "a long, b long, near boolean").where("near").select("a", "b").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -355,15 +355,18 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         large = large.where(F.col("n") > BUCKET)
         small = small.union(large.select(F.col("hub").alias("x"), F.col("h").alias("y")))
     pairs = small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    reps = members.groupBy("h").agg(F.min(F.struct("doc", "sketch")).alias("r")).select("h", "r.doc", "r.sketch")
+    # written tables have a known size, by which Spark decides whether to broadcast them
+    reps = stored(members.groupBy("h").agg(F.min(F.struct("doc", "sketch")).alias("r")).select("h", "r.doc", "r.sketch"))
 
     def promising(p: DataFrame) -> DataFrame:
         x, y = (reps.select(F.col("h").alias(e), F.col("sketch").alias("s" + e)) for e in ("a", "b"))
         return cut(p.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_promising(threshold), "a long, b long"))
 
     def texts_of(p: DataFrame) -> DataFrame:
-        need = p.select(F.col("a").alias("h")).union(p.select("b")).distinct().join(reps, "h").select("doc")
-        return cut(docs.join(need, "doc", "left_semi").mapInArrow(_folded, "h long, folded string").dropDuplicates(["h"]))
+        need = stored(p.select(F.col("a").alias("h")).union(p.select("b")).distinct().join(reps, "h").select("doc"))
+        out = cut(docs.join(need, "doc", "left_semi").mapInArrow(_folded, "h long, folded string"))
+        drop_stored(need)
+        return out
 
     pairs = promising(pairs)
     found = cut(_verified(pairs, texts_of(pairs), threshold))
